@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspark.functions.text import null_if_empty
-
 # --- fixed values ----------------------------------------------------------
 DEFAULT_SUFFIX = ".png"
 DEFAULT_EXTENSION = ".bin"
@@ -70,6 +68,8 @@ def ocr_route(uri: Column, backend: str) -> Column:
 def path_key(uri: Column) -> Column:
     """Path form under which events and scanned files meet.
 
-    ``file:///a``, ``file:/a`` and ``/a`` name one file; other URIs are kept.
+    ``file:///a``, ``file:/a`` and ``/a`` name one file, as do ``s3://`` and
+    the ``s3a://`` a scan reports.
     """
-    return null_if_empty(F.regexp_replace(uri, r"^file:/+", "/"))
+    local = F.regexp_replace(uri, "^file:/+", "/")
+    return F.regexp_replace(local, "^s3[an]://", "s3://")

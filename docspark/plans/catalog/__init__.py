@@ -1,6 +1,6 @@
 """Registered queries, one per operator or pipeline."""
 
-from docspark.plans.catalog import documents
+from docspark.plans.catalog import documents, reading
 from docspark.plans.catalog.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "documents"]
+__all__ = ["QUERIES", "SQL", "documents", "reading"]

@@ -18,7 +18,7 @@ from docspark.plans.catalog.registry import query
 
 _MIXED = corpora.with_tables("mixed")
 _TYPED = f"{_MIXED}, typed AS ({Q.TYPED})"
-_FIELDS = f"{_TYPED}, fields AS ({Q.FIELDS})"
+FIELD_TABLES = f"{_TYPED}, fields AS ({Q.FIELDS})"
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_FIELDS} SELECT doc_id, name, email, {Q.joined("phone")} AS phone,
+    f"""{FIELD_TABLES} SELECT doc_id, name, email, {Q.joined("phone")} AS phone,
       {Q.joined("skills")} AS skills FROM fields WHERE doc_type = 'resume'"""
 )
 def resume_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def resume_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_FIELDS} SELECT doc_id, invoice_number, total, vendor_email FROM fields
+    f"""{FIELD_TABLES} SELECT doc_id, invoice_number, total, vendor_email FROM fields
       WHERE doc_type = 'invoice'"""
 )
 def invoice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def invoice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_FIELDS} SELECT doc_id, date_of_birth, document_id FROM fields WHERE doc_type = 'kyc'")
+@query(f"{FIELD_TABLES} SELECT doc_id, date_of_birth, document_id FROM fields WHERE doc_type = 'kyc'")
 def kyc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         extracted(spark, sf_dir)
@@ -140,7 +140,7 @@ def kyc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_FIELDS} SELECT doc_id, doc_type, confidence, {Q.json_fields()} AS fields FROM fields")
+@query(f"{FIELD_TABLES} SELECT doc_id, doc_type, confidence, {Q.json_fields()} AS fields FROM fields")
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(spark, sf_dir).select(
         "doc_id",
@@ -157,12 +157,17 @@ def _continues(at: int) -> str:
     return f"substr(h, {2 * at - 1}, 1) IN ('8', '9', 'A', 'B')"
 
 
-@query(
-    f"""SELECT doc_id, length(sample) AS chars, strlen(sample) AS bytes, md5(sample) AS sample_md5
-    FROM (SELECT doc_id, decode(unhex(left(h, 2 * CASE
+def sample_sql(source: str) -> str:
+    """The text of a table cut to the size of an enrichment request."""
+    return f"""SELECT doc_id, decode(unhex(left(h, 2 * CASE
         WHEN NOT {_continues(_CUT + 1)} THEN {_CUT} WHEN NOT {_continues(_CUT)} THEN {_CUT - 1}
         WHEN NOT {_continues(_CUT - 1)} THEN {_CUT - 2} ELSE {_CUT - 3} END))) AS sample
-      FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))"""
+      FROM (SELECT doc_id, hex(encode(text)) AS h FROM {source})"""
+
+
+@query(
+    f"""SELECT doc_id, length(sample) AS chars, strlen(sample) AS bytes, md5(sample) AS sample_md5
+    FROM ({sample_sql("documents")})"""
 )
 def utf8_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = corpora.read(spark, sf_dir, "documents").select(

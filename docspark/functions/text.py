@@ -24,6 +24,15 @@ def null_if_empty(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def first_match(text: Column, pattern: str, group: int = 0) -> Column:
+    """Group of the first match that is not empty, null if there is none.
+
+    ``regexp_substr`` and ``nullif`` write the match out twice, and inside a
+    ``CASE`` it would be searched for twice.
+    """
+    return once(F.regexp_extract(text, pattern, group), lambda found: F.nullif(found, F.lit("")))
+
+
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
     return F.coalesce(strip(text), F.lit("")) == ""
@@ -41,7 +50,7 @@ def first_line(text: Column) -> Column:
     Every line boundary is white space, so the first character that is not
     white space opens the first non-blank line. Null when there is none.
     """
-    tail = F.regexp_substr(text, F.lit(rf"[^{P.SPACE}][^{P.LINE_BREAK_CHARS}]*"))
+    tail = first_match(text, rf"[^{P.SPACE}][^{P.LINE_BREAK_CHARS}]*")
     return F.rtrim(tail, F.lit(P.PY_SPACE))
 
 

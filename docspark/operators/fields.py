@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.functions import patterns as P
-from docspark.functions.text import first_line, non_blank_lines, null_if_empty, once, strip
+from docspark.functions.text import first_line, first_match, non_blank_lines, once, strip
 
 
 def email(text: Column) -> Column:
-    return F.regexp_substr(text, F.lit(P.EMAIL_SEARCH))
+    return first_match(text, P.EMAIL_SEARCH)
 
 
 def phones(text: Column) -> Column:
@@ -39,7 +39,7 @@ def resume_skills(text: Column) -> Column:
 
 
 def invoice_number(text: Column) -> Column:
-    return null_if_empty(F.regexp_extract(text, P.INVOICE_NUMBER, 1))
+    return first_match(text, P.INVOICE_NUMBER, 1)
 
 
 def invoice_total(text: Column) -> Column:
@@ -48,11 +48,11 @@ def invoice_total(text: Column) -> Column:
 
 
 def birth_date(text: Column) -> Column:
-    return null_if_empty(F.regexp_extract(text, P.BIRTH_DATE, 1))
+    return first_match(text, P.BIRTH_DATE, 1)
 
 
 def document_id(text: Column) -> Column:
-    return null_if_empty(F.regexp_extract(text, P.DOCUMENT_ID, 1))
+    return first_match(text, P.DOCUMENT_ID, 1)
 
 
 def raw_preview(text: Column) -> Column:

@@ -17,17 +17,18 @@ def shared_directory(spark: SparkSession) -> str:
     Only where none is named (tests on one machine) a temporary one is made.
     """
     named = spark.conf.get(_CHECKPOINT_DIR, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="docspark-")
-        spark.conf.set(_CHECKPOINT_DIR, named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docspark-"))
+    return context.getCheckpointDir()
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """The frame computed once and kept on shared storage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    directory = shared_directory(spark)
+    directory = shared_directory(df.sparkSession)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(directory)
     return df.checkpoint(eager=True)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,7 @@ class UploadJob:
         once.
         """
         spark = batch.sparkSession
-        decoded = messages.decode_uploads(batch.select("value", "seq")).persist()
+        decoded = self._checked(messages.decode_uploads(batch.select("value", "seq"))).persist()
         try:
             self._write(decoded, batch_id)
         finally:
@@ -60,20 +59,22 @@ class UploadJob:
             events_out = messages.to_messages(out, "doc_id", payload_json(out, "json_uri"))
             topics.publish_or_log(self.publish, events_out, batch_id, self.publish_required)
 
+    def _checked(self, decoded: DataFrame) -> DataFrame:
+        """Events whose file is missing get a reason, too."""
+        if self.files is None:
+            return decoded
+        joined = raw_files.with_files(decoded.withColumnRenamed("reason", "_first"), self.files())
+        return joined.withColumn("reason", F.coalesce("_first", "reason")).drop("_first", "length")
+
     def _write(self, decoded: DataFrame, batch_id: int) -> None:
         spark = decoded.sparkSession
         events = messages.valid(decoded)
-        bad = [messages.dead_letters(decoded)]
-        if self.files is not None:
-            checked = raw_files.with_files(events, self.files()).drop("length")
-            bad.append(messages.dead_letters(checked))
-            events = messages.valid(checked)
         docs = documents(self.tables().restricted(events))
         store.write_processed(process(events, docs, self.backend), self.store, batch_id)
 
-        bad.append(store.batch_of(store.unprocessed(spark, self.store), batch_id))
         columns = ["value", "seq", "doc_id", "file_path", "reason"]
-        letters = reduce(DataFrame.unionByName, (part.select(columns) for part in bad))
+        unread = store.batch_of(store.unprocessed(spark, self.store), batch_id).select(columns)
+        letters = messages.dead_letters(decoded).select(columns).unionByName(unread)
         store.write_batch(letters, self.store.dead_letters, batch_id)
 
 

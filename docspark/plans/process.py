@@ -41,29 +41,31 @@ class DocumentTables:
     def restricted(self, ids: DataFrame) -> DocumentTables:
         """The tables cut to some documents before anything is grouped.
 
-        Where a table is partitioned by bucket, the bucket is joined on too, so
-        that a small set of ids reads only its own partitions.
+        Of a table partitioned by bucket only the buckets of the ids are read.
+        Their numbers, at most ``buckets`` of them, pass through the driver to
+        become a partition filter.
         """
         keys = ids.select("doc_id").distinct()
+        given = (self.texts, self.blocks, self.entities, self.key_phrases)
+        bucketed = any(t is not None and DOC_BUCKET in t.columns for t in given)
+        needed = self._needed_buckets(keys) if bucketed else []
 
         def cut(table: DataFrame | None) -> DataFrame | None:
             if table is None:
                 return None
-            if DOC_BUCKET not in table.columns:
-                return table.join(keys, "doc_id", "left_semi")
-            bucketed = keys.withColumn(DOC_BUCKET, doc_bucket(F.col("doc_id"), self.buckets))
-            kept = table.join(bucketed, [DOC_BUCKET, "doc_id"], "left_semi")
-            return kept.drop(DOC_BUCKET)
+            if DOC_BUCKET in table.columns:
+                table = table.filter(F.col(DOC_BUCKET).isin(needed)).drop(DOC_BUCKET)
+            return table.join(keys, "doc_id", "left_semi")
 
+        texts, blocks, entities, key_phrases = map(cut, given)
         return DocumentTables(
-            cut(self.texts),
-            cut(self.blocks),
-            self.block_order,
-            cut(self.entities),
-            cut(self.key_phrases),
-            self.buckets,
+            texts, blocks, self.block_order, entities, key_phrases, self.buckets
         )
 
+    def _needed_buckets(self, keys: DataFrame) -> list[int]:
+        bucket = doc_bucket(F.col("doc_id"), self.buckets).alias(DOC_BUCKET)
+        return [row[DOC_BUCKET] for row in keys.select(bucket).distinct().collect()]
+
 
 def doc_bucket(doc_id, buckets: int):
     """Partition number under which the document tables keep a document."""

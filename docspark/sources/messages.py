@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from docspark import schemas
 from docspark.functions import pyjson
+from docspark.functions.text import once
 
 INVALID_JSON = "invalid_json_object"
 MISSING_DOC_ID = "missing_doc_id"
@@ -24,10 +25,10 @@ def json_object(value: Column, schema: StructType) -> Column:
     read as an object: there the parser stops at the closing brace.
     """
     wrapped = F.concat(F.lit("["), value, F.lit("]"))
-    items = F.from_json(
+    parsed = F.from_json(
         wrapped, f"array<{schema.simpleString()}>", {"allowSingleQuotes": "false"}
     )
-    return F.when(F.size(items) == 1, F.get(items, 0))
+    return once(parsed, lambda items: F.when(F.size(items) == 1, F.get(items, 0)))
 
 
 def decode_uploads(messages: DataFrame, value: str = "value") -> DataFrame:

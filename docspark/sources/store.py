@@ -167,11 +167,8 @@ def read_json_objects(
 
     Text that is no JSON object, and objects without a doc_id, are skipped.
     """
-    texts = (
-        spark.read.option("wholetext", str(whole_files).lower())
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(directory)
+    texts = spark.read.text(
+        directory, wholetext=whole_files, recursiveFileLookup=True, pathGlobFilter=glob
     )
     objects = texts.filter(F.is_valid_utf8("value")).select(
         json_object(F.col("value"), schema).alias("_row")

@@ -1,0 +1,226 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from docspark import schemas
+from docspark.operators import dataset, feedback, scoring, tables, terms
+from docspark.plans import corpora
+from docspark.sources import files, messages, store
+
+MESSAGES = [
+    ('{"doc_id": "a", "file_path": "/a", "doc_type": "kyc", "more": [1]}', None),
+    ('{"doc_id":1,"file_path":"p"}', None),
+    ('{"doc_id": "b", "file_path": "/b", "doc_type": ""}', None),
+    ("{bad", "invalid_json_object"),
+    ("[1]", "invalid_json_object"),
+    ('["doc_id", "file_path"]', "invalid_json_object"),
+    ("null", "invalid_json_object"),
+    ("  ", "invalid_json_object"),
+    ('{"doc_id": "x", "file_path": "/x"} {"doc_id": "y"}', "invalid_json_object"),
+    ('{"file_path": "/a"}', "missing_doc_id"),
+    ('{"doc_id": "c", "doc_type": "kyc"}', "missing_file_path"),
+    ("", "skipped"),
+    (None, "skipped"),
+]
+
+
+def test_decode(spark):
+    frame = spark.createDataFrame([(v, i) for i, (v, _) in enumerate(MESSAGES)], "value STRING, seq INT")
+    got = {r.seq: r for r in messages.decode_uploads(frame).collect()}
+    for i, (value, reason) in enumerate(MESSAGES):
+        if reason == "skipped":
+            assert i not in got
+        else:
+            assert got[i].reason == reason, value
+    assert [got[i].doc_id for i in range(3)] == ["a", "1", "b"]
+    assert [got[i].doc_type for i in range(3)] == ["kyc", "unknown", "unknown"]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"abc")
+    (tmp_path / "sub" / "b").write_bytes(b"x")
+    (tmp_path / "empty.png").write_bytes(b"")
+    scanned = files.read_files(spark, str(tmp_path))
+    landed = files.landed_uploads(scanned).select("doc_id", "file_path", "stored_name", "length").collect()
+    assert sorted(r.length for r in landed) == [1, 3]
+    assert all(r.stored_name in (r.doc_id + ".pdf", r.doc_id + ".bin") for r in landed)
+    events = spark.createDataFrame(
+        [("1", f"file://{tmp_path}/a.pdf"), ("2", f"{tmp_path}/sub/b"), ("3", "/none")],
+        "doc_id STRING, file_path STRING",
+    )
+    got = {r.doc_id: (r.length, r.reason) for r in files.with_files(events, scanned).collect()}
+    assert got == {"1": (3, None), "2": (1, None), "3": (None, "file_not_found")}
+
+
+def test_last_write_wins(spark):
+    rows = [("a", 0, 5, "old"), ("a", 1, 0, "mid"), ("a", 1, 2, "new"), ("b", 0, 1, "only")]
+    frame = spark.createDataFrame(rows, "doc_id STRING, batch_id INT, seq INT, v STRING")
+    got = tables.latest_processed(frame, ["batch_id", "seq"]).select("doc_id", "v").collect()
+    assert sorted(map(tuple, got)) == [("a", "new"), ("b", "only")]
+
+
+def test_manifests(spark):
+    uploads = spark.createDataFrame(
+        [("a", "/a", "kyc"), ("b", "/b", "unknown")], "doc_id STRING, file_path STRING, doc_type STRING"
+    )
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    log = tables.queued_manifest(uploads, at).unionByName(
+        tables.processed_manifest(uploads.filter("doc_id = 'a'"), F.lit("/out"), at)
+    )
+    assert log.schema.names == schemas.MANIFEST.names
+    got = {r.doc_id: r for r in tables.manifest_status(log).collect()}
+    assert (got["a"].status, got["a"].processed_uri, got["a"].doc_type) == ("processed", "/out", "kyc")
+    assert (got["b"].status, got["b"].processed_uri) == ("queued", None)
+    assert got["a"].ts.startswith("2024-01-01T00:00:00.000000")
+
+
+FEEDBACK = [
+    ("e1", "a", "doc_type", None, " Invoice ", "2024-01-01"),
+    ("e2", "a", "doc_type", None, "KYC", "2024-01-02"),
+    ("e3", "a", "doc_type", None, "tie", "2024-01-02"),
+    ("e4", "a", "doc_type", None, "", "2024-01-09"),
+    ("e5", "a", "name", None, "x", "2024-01-09"),
+    ("e6", "b", "doc_type", None, " ", "2024-01-01"),
+    ("e7", "b", "doc_type", None, "late", None),
+    ("e8", "c", "doc_type", None, None, "2024-01-01"),
+    ("e9", "", "doc_type", None, "x", "2024-01-01"),
+]
+
+
+def test_overrides(spark):
+    frame = spark.createDataFrame(FEEDBACK, schemas.FEEDBACK)
+    got = dict(map(tuple, feedback.latest_overrides(feedback.complete(frame)).collect()))
+    assert got == {"a": "tie", "b": ""}
+    assert {r.event_id for r in feedback.incomplete(frame).collect()} == {"e8", "e9"}
+
+
+@pytest.mark.parametrize(("limit", "count"), [(0, 9), (None, 9), (1, 1), (4, 4), (99, 9)])
+def test_oldest(spark, limit, count):
+    frame = spark.createDataFrame(FEEDBACK, schemas.FEEDBACK)
+    got = [r.actual for r in feedback.oldest_first(frame, limit).collect()]
+    assert got == ["late", " Invoice ", " ", None, "x", "KYC", "tie", "", "x"][:count]
+
+
+def test_training_rows(spark):
+    processed = spark.createDataFrame([("a", "kyc"), ("b", "invoice"), ("z", None)], "doc_id STRING, doc_type STRING")
+    types = {f.name: f.dataType for f in schemas.FIELDS}
+    columns = [F.lit(None).cast(t).alias(n) for n, t in types.items() if n != "total"]
+    columns.append(F.when(F.col("doc_type") == "invoice", "£ 5").alias("total"))
+    processed = processed.withColumn("fields", F.struct(*columns))
+    frame = spark.createDataFrame(FEEDBACK, schemas.FEEDBACK)
+    got = {r.doc_id: (r.text, r.label) for r in dataset.training_rows(processed, frame).collect()}
+    assert got["a"] == ('kyc {"date_of_birth": null, "document_id": null}', "tie")
+    invoice = '{"invoice_number": null, "total": "\\u00a3 5", "vendor_email": null}'
+    assert got["b"] == ("invoice " + invoice, "")
+    assert got["z"][1] == "unknown"
+    bare = dataset.training_rows(processed, frame, include_type=False)
+    assert {r.doc_id: r.text for r in bare.collect()}["b"] == invoice
+
+
+def labelled(spark, sizes):
+    rows = [(f"{label}-{i}", label) for label, n in sizes.items() for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id STRING, label STRING")
+
+
+@pytest.mark.parametrize(("n", "minimum", "ok"), [(2, 3, False), (3, 3, True), (4, 5, False), (5, 5, True)])
+def test_gate(spark, n, minimum, ok):
+    row = dataset.gate(labelled(spark, {"a": n}), minimum).first()
+    assert (row.samples, row.enough, row.classes, row.splittable) == (n, ok, 1, False)
+
+
+def test_gate_of_nothing(spark):
+    assert dataset.gate(labelled(spark, {"a": 1}).limit(0)).first().enough is False
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [{"a": 8}, {"a": 2, "b": 2}, {"a": 3, "b": 3, "c": 3}, {"a": 997, "b": 11, "c": 2, "d": 333}, {"a": 1, "b": 1}],
+)
+def test_split_quotas(spark, sizes):
+    frame = labelled(spark, sizes)
+    split = dataset.stratified_split(frame)
+    got = {r.label: r.t for r in split.groupBy("label").agg(F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    total = sum(sizes.values())
+    train = total - -(-total // 4)
+    base = {c: n * train // total for c, n in sizes.items()}
+    by_rest = sorted(sizes, key=lambda c: (-(sizes[c] * train % total), c))
+    for c in by_rest[: train - sum(base.values())]:
+        base[c] += 1
+    assert got == {c: n - base[c] for c, n in sizes.items()}
+    again = dataset.stratified_split(frame.repartition(3))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_split_without_broadcast(spark, monkeypatch):
+    frame = labelled(spark, {"a": 300, "b": 40})
+    expected = sorted(map(tuple, dataset.stratified_split(frame).collect()))
+    monkeypatch.setattr(dataset, "broadcast_if_small", lambda df: df.hint("merge"))
+    assert sorted(map(tuple, dataset.stratified_split(frame).collect())) == expected
+
+
+def test_class_weights(spark):
+    got = {r.label: r.weight for r in dataset.class_weights(labelled(spark, {"a": 6, "b": 2})).collect()}
+    assert got == {"a": 8 / 12, "b": 8 / 4}
+
+
+def test_terms(spark):
+    docs = spark.createDataFrame([("A cat, a CAT sat; x_1 é9",), ("cat",), ("",), ("b c",)], "text STRING")
+    got = {r.term: (r.occurrences, r.documents) for r in terms.term_frequencies(docs).collect()}
+    assert got == {
+        "cat": (3, 2), "sat": (1, 1), "x_1": (1, 1), "é9": (1, 1), "cat cat": (1, 1), "cat sat": (1, 1),
+        "sat x_1": (1, 1), "x_1 é9": (1, 1),
+    }
+    top = [r.term for r in terms.vocabulary(terms.term_frequencies(docs), 3).collect()]
+    assert top == ["cat", "cat cat", "cat sat"]
+
+
+def test_fallback(spark):
+    rows = [("total", "kyc", 0.5), ("total", "kyc", None), ("total", "kyc", 0.0), ("vat total", None, None)]
+    frame = spark.createDataFrame(rows, "text STRING, predicted STRING, probability DOUBLE")
+    got = [tuple(r) for r in scoring.prediction_or_rules(frame).select("doc_type", "confidence", "source").collect()]
+    assert got == [
+        ("kyc", 0.5, "mlflow"), ("kyc", 0.85, "mlflow"), ("kyc", 0.85, "mlflow"), ("invoice", 0.7, "rules"),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("stages", "served"),
+    [(["Staging", "Production", "Staging"], 2), (["Staging", "None", "Staging"], 3), (["None"], None)],
+)
+def test_serving_version(spark, stages, served):
+    rows = [("m", i + 1, stage, "r", "p") for i, stage in enumerate(stages)]
+    row = scoring.serving_versions(spark.createDataFrame(rows, schemas.MODEL_VERSION)).first()
+    assert (row and row.version) == served
+
+
+def test_json_files(spark, tmp_path):
+    payload = {"doc_id": "a", "doc_type": "kyc", "fields": {"document_id": "X"}, "confidence": 0.7}
+    (tmp_path / "a.json").write_text(json.dumps(payload, indent=2), encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"doc_id": ""}')
+    (tmp_path / "c.json").write_text("[" + json.dumps(payload) + "]")
+    (tmp_path / "d.json").write_text("{oops")
+    (tmp_path / "e.json").write_bytes(b'{"doc_id": "\xff"}')
+    (tmp_path / "f.txt").write_text(json.dumps(payload))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "g.json").write_text(json.dumps({"doc_id": 7, "doc_type": "x"}))
+    got = store.read_processed_json(spark, str(tmp_path)).select("doc_id", "fields.document_id").collect()
+    assert sorted(map(tuple, got)) == [("7", None), ("a", "X")]
+
+
+def test_feedback_log(spark, tmp_path):
+    where = store.Store(str(tmp_path))
+    rows = [(None, "a", "doc_type", None, "kyc", "t"), ("e", "b", "name", None, "n", "t")]
+    for _ in range(2):
+        store.append_feedback(spark.createDataFrame(rows, schemas.FEEDBACK), where)
+    log = store.feedback(spark, where)
+    assert log.count() == 4
+    assert log.filter("event_id IS NULL").count() == 0
+    assert log.filter("event_id <> 'e'").select("event_id").distinct().count() == 2
+
+
+def test_small_tables_are_spread(spark, sf_dir):
+    assert corpora.read(spark, sf_dir, "documents").rdd.getNumPartitions() >= 8

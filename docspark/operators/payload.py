@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import cache
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docspark import schemas
@@ -102,20 +104,27 @@ def _layout_json(layout: Column) -> Column:
     )
 
 
-def payload_json(df: DataFrame, *extra: str) -> Column:
+@cache
+def payload_json(*extra: str) -> Column:
     """JSON text of a processed row; absent sections have no key.
 
-    ``extra`` names string columns printed after the sections.
+    ``extra`` names string columns printed after the sections. The expression
+    is large and refers to columns by name, so it is built once and not for
+    every micro-batch.
     """
-    ml_type = schemas.PROCESSED["ml"].dataType
-    ocr_type = schemas.PROCESSED["ocr"].dataType
+    types = {field.name: field.dataType for field in schemas.PROCESSED.fields}
+
+    def section(name: str) -> tuple[str, Column]:
+        value = F.col(name)
+        return name, F.when(value.isNotNull(), pyjson.dumps(value, types[name]))
+
     return pyjson.members(
-        ("doc_id", pyjson.dumps(df["doc_id"], schemas.PROCESSED["doc_id"].dataType)),
-        ("doc_type", pyjson.dumps(df["doc_type"], schemas.PROCESSED["doc_type"].dataType)),
-        ("fields", fields_json(df["doc_type"], df["fields"])),
-        ("confidence", pyjson.float_text(df["confidence"])),
-        ("ocr", F.when(df["ocr"].isNotNull(), pyjson.dumps(df["ocr"], ocr_type))),
-        ("ml", F.when(df["ml"].isNotNull(), pyjson.dumps(df["ml"], ml_type))),
-        ("layout", _layout_json(df["layout"])),
-        *((name, pyjson.quote(df[name])) for name in extra),
+        ("doc_id", pyjson.dumps(F.col("doc_id"), types["doc_id"])),
+        ("doc_type", pyjson.dumps(F.col("doc_type"), types["doc_type"])),
+        ("fields", fields_json(F.col("doc_type"), F.col("fields"))),
+        ("confidence", pyjson.float_text(F.col("confidence"))),
+        section("ocr"),
+        section("ml"),
+        ("layout", _layout_json(F.col("layout"))),
+        *((name, pyjson.quote(F.col(name))) for name in extra),
     )

@@ -340,7 +340,7 @@ PAYLOAD_JSON = f"""'{{"doc_id": "' || doc_id || '", "doc_type": ' || {Q.json_str
 @query(f"{PAYLOAD_TABLES} SELECT doc_id, {PAYLOAD_JSON} AS payload FROM merged")
 def result_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = payloads(spark, sf_dir)
-    return rows.select("doc_id", payload_json(rows).alias("payload"))
+    return rows.select("doc_id", payload_json().alias("payload"))
 
 
 @query(

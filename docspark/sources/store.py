@@ -153,7 +153,7 @@ def feedback(spark: SparkSession, store: Store) -> DataFrame:
 
 def write_processed_json(df: DataFrame, directory: str) -> None:
     """Writes processed rows as JSON, one object per line."""
-    df.select(payload_json(df).alias("value")).write.mode("overwrite").text(directory)
+    df.select(payload_json().alias("value")).write.mode("overwrite").text(directory)
 
 
 def read_json_objects(

@@ -56,7 +56,7 @@ class UploadJob:
 
         if self.publish is not None:
             out = done.withColumn("json_uri", uri)
-            events_out = messages.to_messages(out, "doc_id", payload_json(out, "json_uri"))
+            events_out = messages.to_messages(out, "doc_id", payload_json("json_uri"))
             topics.publish_or_log(self.publish, events_out, batch_id, self.publish_required)
 
     def _checked(self, decoded: DataFrame) -> DataFrame:

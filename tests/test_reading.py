@@ -93,7 +93,7 @@ def test_layout_sizes(spark, count):
     texts = spark.createDataFrame([("d", "x")], "doc_id STRING, text STRING")
     events = spark.createDataFrame([("d", "/d", "unknown")], "doc_id STRING, file_path STRING, doc_type STRING")
     rows = process(events, documents(DocumentTables(texts, blocks=words)))
-    payload = json.loads(rows.select(payload_json(rows)).first()[0])
+    payload = json.loads(rows.select(payload_json()).first()[0])
     if count == 0:
         assert "layout" not in payload
     else:
@@ -130,7 +130,7 @@ def payload_of(spark, text, entities, hint="unknown"):
     )
     events = spark.createDataFrame([("d", "/d", hint)], "doc_id STRING, file_path STRING, doc_type STRING")
     rows = process(events, documents(tables))
-    return json.loads(rows.select(payload_json(rows)).first()[0])
+    return json.loads(rows.select(payload_json()).first()[0])
 
 
 def test_entity_merge(spark):

@@ -50,7 +50,7 @@ def run(spark, job, tmp_path):
 
 def snapshot(spark, job):
     rows = store.processed(spark, job.store)
-    return sorted(map(tuple, rows.select("doc_id", payload_json(rows)).collect()))
+    return sorted(map(tuple, rows.select("doc_id", payload_json()).collect()))
 
 
 def test_batches_restart_and_overwrite(spark, job, tmp_path):
@@ -102,7 +102,7 @@ def test_stream_equals_batch(spark, job, tmp_path):
     frame = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value STRING, seq BIGINT")
     events = messages.valid(messages.decode_uploads(frame))
     rows = process(events, documents(job.tables()))
-    assert sorted(map(tuple, rows.select("doc_id", payload_json(rows)).collect())) == snapshot(spark, job)
+    assert sorted(map(tuple, rows.select("doc_id", payload_json()).collect())) == snapshot(spark, job)
 
 
 def test_missing_files(spark, job, tmp_path):
@@ -139,7 +139,7 @@ def test_compaction(spark, job, tmp_path):
     store.compact_processed(spark, job.store, target)
     assert store.processed_versions(spark, target).count() == 2
     rows = store.processed(spark, target)
-    got = sorted(map(tuple, rows.select("doc_id", payload_json(rows)).collect()))
+    got = sorted(map(tuple, rows.select("doc_id", payload_json()).collect()))
     assert got == snapshot(spark, job)
 
 

@@ -45,12 +45,12 @@ def numbered(
 ) -> DataFrame:
     """Numbers the rows of a key from 1 in the order of (group, position).
 
-    ``position`` is a non-negative integer that is unique within the group. Rows
-    are ranked within (key, group, block of ``chunk`` positions), and what
+    ``position`` is a non-negative integer, unique within the group; neither is
+    null. Rows are ranked within (key, group, block of ``chunk`` positions), and what
     precedes a block comes from the block counts. No task ranks all rows of a
     key.
     """
-    block = F.floor(F.col(position) / F.lit(chunk)).alias("_block")
+    block = F.expr(f"{position} DIV {chunk}").alias("_block")
     blocks = [key, group, "_block"]
     rows = df.select("*", block)
     counts = rows.groupBy(*blocks).agg(F.count("*").alias("_rows"))

@@ -71,11 +71,14 @@ def grouped_entities(rows: DataFrame) -> DataFrame:
     item = F.struct("text", "type", "score")
     first = keyed.first_as_array(entities, "doc_id", ["pos"], P.MAX_ENTITIES, item, "entities")
     named = entities.filter(F.col("type").isin("PERSON", "ORGANIZATION") & (F.col("text") != ""))
+
+    def first_of(kind: str) -> Column:
+        wanted = F.col("type") == kind
+        return F.min_by(F.when(wanted, F.col("text")), F.when(wanted, F.col("pos")))
+
     names = named.groupBy("doc_id").agg(
-        *(
-            F.min_by(F.when(F.col("type") == kind, F.col("text")), F.when(F.col("type") == kind, F.col("pos"))).alias(name)
-            for kind, name in (("PERSON", "person"), ("ORGANIZATION", "entity_organization"))
-        )
+        first_of("PERSON").alias("person"),
+        first_of("ORGANIZATION").alias("entity_organization"),
     )
     return first.join(names, "doc_id", "left")
 

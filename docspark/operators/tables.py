@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.times import utc_iso
 from docspark.operators import keyed
 
 # --- fixed values ----------------------------------------------------------
@@ -18,10 +19,6 @@ def latest_processed(versions: DataFrame, arrival: list[str]) -> DataFrame:
     return keyed.latest_rows(versions, ["doc_id"], [F.col(name).desc() for name in arrival])
 
 
-def _utc_iso(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-
-
 def queued_manifest(uploads: DataFrame, at: Column) -> DataFrame:
     """Manifest rows of accepted uploads."""
     return uploads.select(
@@ -29,7 +26,7 @@ def queued_manifest(uploads: DataFrame, at: Column) -> DataFrame:
         "file_path",
         "doc_type",
         F.lit(QUEUED).alias("status"),
-        _utc_iso(at).alias("ts"),
+        utc_iso(at).alias("ts"),
         F.lit(None).cast("string").alias("processed_uri"),
     )
 
@@ -41,7 +38,7 @@ def processed_manifest(events: DataFrame, uri: Column, at: Column) -> DataFrame:
         "file_path",
         "doc_type",
         F.lit(PROCESSED).alias("status"),
-        _utc_iso(at).alias("ts"),
+        utc_iso(at).alias("ts"),
         uri.alias("processed_uri"),
     )
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from docspark import schemas
+from docspark.functions.times import utc_iso
 from docspark.operators import dataset, feedback, scoring, tables, terms
 from docspark.plans import corpora
 from docspark.sources import files, messages, store
@@ -222,5 +224,26 @@ def test_feedback_log(spark, tmp_path):
     assert log.filter("event_id <> 'e'").select("event_id").distinct().count() == 2
 
 
+def test_recorded_feedback(spark):
+    body = spark.createDataFrame([("a", "doc_type", None, "kyc")] * 2, "doc_id STRING, field STRING, predicted STRING, actual STRING")
+    events = store.recorded(body)
+    assert events.schema.names == schemas.FEEDBACK.names
+    rows = events.collect()
+    assert rows[0].event_id != rows[1].event_id
+    stamp = datetime.fromisoformat(rows[0].ts)
+    assert abs((datetime.now(UTC) - stamp).total_seconds()) < 600
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_utc_text(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = F.timestamp_micros(F.lit(1_700_000_000_123_456))
+        assert spark.range(1).select(utc_iso(at)).first()[0] == "2023-11-14T22:13:20.123456+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_small_tables_are_spread(spark, sf_dir):
     assert corpora.read(spark, sf_dir, "documents").rdd.getNumPartitions() >= 8

@@ -156,198 +156,6 @@ def recorded(corrections: DataFrame) -> DataFrame:
     )
 
 
-def feedback(self) -> str:
-        return f"{self.base}/feedback"
-
-    @property
-    def raw(self) -> str:
-        return f"{self.base}/raw"
-
-    @property
-    def dead_letters(self) -> str:
-        return f"{self.base}/dead_letters"
-
-    @property
-    def runs(self) -> str:
-        return f"{self.base}/runs"
-
-    @property
-    def model_versions(self) -> str:
-        return f"{self.base}/model_versions"
-
-
-def write_batch(df: DataFrame, table: str, batch_id: int) -> str:
-    """Writes a batch as one partition, replacing it if it is there.
-
-    A batch that is run again leaves the table as it was.
-    """
-    location = f"{table}/{BATCH}={batch_id}"
-    df.write.mode("overwrite").parquet(location)
-    return location
-
-
-def write_processed(rows: DataFrame, store: Store, batch_id: int) -> None:
-    """Writes processed rows and, apart from them, rows that have a ``reason``."""
-    usable = F.col("reason").isNull()
-    split = rows.withColumns({USABLE: usable, "value": F.when(~usable, F.col("value"))})
-    location = f"{store.processed}/{BATCH}={batch_id}"
-    split.write.mode("overwrite").partitionBy(USABLE).parquet(location)
-
-
-def _processed_rows(spark: SparkSession, store: Store) -> DataFrame:
-    return spark.read.schema(_PROCESSED_ROWS).parquet(store.processed)
-
-
-def batch_of(table: DataFrame, batch_id: int) -> DataFrame:
-    """One batch of a table; the filter prunes all other partitions."""
-    return table.filter(F.col(BATCH) == batch_id)
-
-
-def processed_versions(spark: SparkSession, store: Store) -> DataFrame:
-    """Every processed row written so far."""
-    return _processed_rows(spark, store).filter(USABLE).drop(USABLE, "reason", "value")
-
-
-def unprocessed(spark: SparkSession, store: Store) -> DataFrame:
-    """Upload events that could not be processed."""
-    return _processed_rows(spark, store).filter(~F.col(USABLE))
-
-
-def processed(spark: SparkSession, store: Store) -> DataFrame:
-    """Last write of every document."""
-    versions = processed_versions(spark, store)
-    return tables.latest_processed(versions, [BATCH, SEQUENCE])
-
-
-def manifests(spark: SparkSession, store: Store) -> DataFrame:
-    schema = _with(schemas.MANIFEST, StructField("job", StringType()), _BATCH)
-    log = spark.read.schema(schema).parquet(store.manifests)
-    return tables.manifest_status(log.drop("job", BATCH))
-
-
-def write_manifest(rows: DataFrame, store: Store, job: str, batch_id: int) -> None:
-    """Manifest rows of one batch of a job; jobs count their batches apart."""
-    write_batch(rows, f"{store.manifests}/job={job}", batch_id)
-
-
-def compact_processed(spark: SparkSession, store: Store, target: Store, batch_id: int = 0) -> None:
-    """Writes the latest view as one batch of another store.
-
-    Superseded rows are left behind; the order column restarts.
-    """
-    latest = processed(spark, store).drop(BATCH)
-    plain = F.lit(None).cast("string")
-    write_processed(latest.withColumns({"reason": plain, "value": plain}), target, batch_id)
-
-
-def append_feedback(events: DataFrame, store: Store) -> None:
-    """Appends feedback to the log."""
-    stamped(events).write.mode("append").parquet(store.feedback)
-
-
-def stamped(events: DataFrame) -> DataFrame:
-    """Feedback with an id and a time where the sender gave none."""
-    return events.withColumns(
-        {
-            "event_id": F.coalesce("event_id", F.uuid()),
-            "ts": F.coalesce("ts", utc_iso(F.current_timestamp())),
-        }
-    )
-
-
-def feedback(self) -> str:
-        return f"{self.base}/feedback"
-
-    @property
-    def raw(self) -> str:
-        return f"{self.base}/raw"
-
-    @property
-    def dead_letters(self) -> str:
-        return f"{self.base}/dead_letters"
-
-    @property
-    def runs(self) -> str:
-        return f"{self.base}/runs"
-
-    @property
-    def model_versions(self) -> str:
-        return f"{self.base}/model_versions"
-
-
-def write_batch(df: DataFrame, table: str, batch_id: int) -> str:
-    """Writes a batch as one partition, replacing it if it is there.
-
-    A batch that is run again leaves the table as it was.
-    """
-    location = f"{table}/{BATCH}={batch_id}"
-    df.write.mode("overwrite").parquet(location)
-    return location
-
-
-def write_processed(rows: DataFrame, store: Store, batch_id: int) -> None:
-    """Writes processed rows and, apart from them, rows that have a ``reason``."""
-    usable = F.col("reason").isNull()
-    split = rows.withColumns({USABLE: usable, "value": F.when(~usable, F.col("value"))})
-    location = f"{store.processed}/{BATCH}={batch_id}"
-    split.write.mode("overwrite").partitionBy(USABLE).parquet(location)
-
-
-def _processed_rows(spark: SparkSession, store: Store) -> DataFrame:
-    return spark.read.schema(_PROCESSED_ROWS).parquet(store.processed)
-
-
-def batch_of(table: DataFrame, batch_id: int) -> DataFrame:
-    """One batch of a table; the filter prunes all other partitions."""
-    return table.filter(F.col(BATCH) == batch_id)
-
-
-def processed_versions(spark: SparkSession, store: Store) -> DataFrame:
-    """Every processed row written so far."""
-    return _processed_rows(spark, store).filter(USABLE).drop(USABLE, "reason", "value")
-
-
-def unprocessed(spark: SparkSession, store: Store) -> DataFrame:
-    """Upload events that could not be processed."""
-    return _processed_rows(spark, store).filter(~F.col(USABLE))
-
-
-def processed(spark: SparkSession, store: Store) -> DataFrame:
-    """Last write of every document."""
-    versions = processed_versions(spark, store)
-    return tables.latest_processed(versions, [BATCH, SEQUENCE])
-
-
-def manifests(spark: SparkSession, store: Store) -> DataFrame:
-    schema = _with(schemas.MANIFEST, StructField("job", StringType()), _BATCH)
-    log = spark.read.schema(schema).parquet(store.manifests)
-    return tables.manifest_status(log.drop("job", BATCH))
-
-
-def write_manifest(rows: DataFrame, store: Store, job: str, batch_id: int) -> None:
-    """Manifest rows of one batch of a job; jobs count their batches apart."""
-    write_batch(rows, f"{store.manifests}/job={job}", batch_id)
-
-
-def compact_processed(spark: SparkSession, store: Store, target: Store, batch_id: int = 0) -> None:
-    """Writes the latest view as one batch of another store.
-
-    Superseded rows are left behind; the order column restarts.
-    """
-    latest = processed(spark, store).drop(BATCH)
-    plain = F.lit(None).cast("string")
-    write_processed(latest.withColumns({"reason": plain, "value": plain}), target, batch_id)
-
-
-def append_feedback(events: DataFrame, store: Store) -> None:
-    """Appends feedback; events without an id get one."""
-    with_ids(events).write.mode("append").parquet(store.feedback)
-
-
-def with_ids(events: DataFrame) -> DataFrame:
-    return events.withColumn("event_id", F.coalesce("event_id", F.uuid()))
-
-
 def feedback(spark: SparkSession, store: Store) -> DataFrame:
     return (
         spark.read.schema(schemas.FEEDBACK)

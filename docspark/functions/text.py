@@ -34,8 +34,11 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """True for null, empty and white-space-only text."""
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """True for null, empty and white-space-only text.
+
+    Stops at the first other character, where stripping reads the whole text.
+    """
+    return ~F.coalesce(text.rlike(f"[^{P.SPACE}]"), F.lit(False))
 
 
 def non_blank_lines(text: Column) -> Column:

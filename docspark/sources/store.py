@@ -164,6 +164,14 @@ def feedback(spark: SparkSession, store: Store) -> DataFrame:
     )
 
 
+def raw_files(spark: SparkSession, store: Store) -> DataFrame:
+    """Path and length of the files the landing job has taken in.
+
+    Only these two columns are read, not the contents.
+    """
+    return spark.read.parquet(store.raw).select(F.col("file_path").alias("path"), "length")
+
+
 def write_processed_json(df: DataFrame, directory: str) -> None:
     """Writes processed rows as JSON, one object per line."""
     df.select(payload_json().alias("value")).write.mode("overwrite").text(directory)

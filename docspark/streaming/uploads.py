@@ -23,7 +23,9 @@ Publisher = Callable[[DataFrame, int], None]
 class UploadJob:
     """What a micro-batch of upload messages is turned into.
 
-    ``files`` is a scan of the raw files or None to take the paths on trust.
+    ``files`` gives path and length of the raw files; None takes the paths of
+    events on trust. ``store.raw_files`` reads them from the landing job's table;
+    a scan of the folder lists every file in it for every batch.
     """
 
     store: store.Store
@@ -60,11 +62,15 @@ class UploadJob:
             topics.publish_or_log(self.publish, events_out, batch_id, self.publish_required)
 
     def _checked(self, decoded: DataFrame) -> DataFrame:
-        """Events whose file is missing get a reason, too."""
+        """Events whose file is missing get a reason, too.
+
+        Bad messages have no path and stay out of the join, where their nulls
+        would all meet in one task.
+        """
         if self.files is None:
             return decoded
-        joined = raw_files.with_files(decoded.withColumnRenamed("reason", "_first"), self.files())
-        return joined.withColumn("reason", F.coalesce("_first", "reason")).drop("_first", "length")
+        checked = raw_files.with_files(messages.valid(decoded), self.files()).drop("length")
+        return checked.unionByName(messages.dead_letters(decoded))
 
     def _write(self, decoded: DataFrame, batch_id: int) -> None:
         spark = decoded.sparkSession

@@ -119,6 +119,25 @@ def test_missing_files(spark, job, tmp_path):
     assert sorted(map(tuple, letters)) == [(1, "file_not_found"), (2, "invalid_json_object")]
 
 
+def test_landed_files_feed_the_upload_job(spark, job, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "x.png").write_bytes(b"data")
+    landing = uploads.LandingJob(job.store, publish=topics.directory_publisher(str(tmp_path / "q")))
+    source = files.stream_files(spark, str(inbox))
+    uploads.start_landing(source, landing, str(tmp_path / "cp")).awaitTermination()
+    sent = spark.read.parquet(str(tmp_path / "q"))
+    texts = sent.select(F.col("key").alias("doc_id"), F.lit("kyc").alias("text"))
+    known = uploads.UploadJob(
+        job.store, lambda: DocumentTables(texts), files=lambda: store.raw_files(spark, job.store)
+    )
+    known.run_batch(sent.select("value", F.lit(0).cast("bigint").alias("seq")), 0)
+    row = store.processed(spark, job.store).first()
+    assert (row.doc_id, row.doc_type) == (sent.first().key, "kyc")
+    status = store.manifests(spark, job.store).first()
+    assert (status.status, status.doc_type) == ("processed", "unknown")
+
+
 def test_failed_publishing(spark, job):
     def fail(messages, batch_id):
         raise RuntimeError("no broker")
@@ -179,6 +198,8 @@ def test_landing(spark, tmp_path):
         "file_path": raw.file_path,
         "doc_type": "invoice",
     }
+    known = store.raw_files(spark, where).collect()
+    assert [(r.path, r.length) for r in known] == [(raw.file_path, 4)]
     (inbox / "y").write_bytes(b"more")
     run_landing()
     assert spark.read.parquet(where.raw).count() == 2

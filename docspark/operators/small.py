@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def shared_directory(spark: SparkSession) -> str:
@@ -34,10 +35,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialised narrow frame for broadcast if it has few rows.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Marks a materialised frame for broadcast if it is measured to be small.
 
     A larger one is left to a shuffled join, where the adaptive skew join
     splits hot keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    measured = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    small = measured[0] <= max_rows and measured[1] <= max_bytes
+    return F.broadcast(df) if small else df

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.operators import entities, feedback, keyed, ocr, tables
+from docspark.operators.small import broadcast_if_small
+from docspark.sources.files import with_files
 
 ROWS = 60_000
 KEY = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || CAST(id % 400 AS STRING) END"
@@ -19,15 +21,13 @@ def rows(spark):
     )
 
 
-def shuffled_records(spark, frame):
-    """Largest number of rows of one key among those a shuffle is given."""
-    plan = frame._jdf.queryExecution().executedPlan().toString()
-    return plan
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_partial_limit_before_the_shuffle(spark, rows):
     first = keyed.first_rows(rows, ["doc_id"], ["pos"], 40, "rank")
-    plan = shuffled_records(spark, first)
+    plan = plan_of(first)
     assert plan.index("WindowGroupLimit [doc_id") < plan.index("Exchange hashpartitioning(doc_id")
     assert "row_number(), 40, Partial" in plan
     got = first.filter("doc_id = 'hot'").select("pos").collect()
@@ -47,8 +47,9 @@ def test_numbering_of_a_hot_document(spark, rows):
     hot = {r.n: r.pos for r in numbered.filter("doc_id = 'hot'").collect()}
     expected = sorted((i % 5, i) for i in range(0, ROWS, 3))
     assert hot == {n + 1: pos for n, (_, pos) in enumerate(expected)}
-    plan = numbered._jdf.queryExecution().executedPlan().toString()
-    assert "doc_id" in plan and "_block" in plan
+    plan = plan_of(numbered)
+    assert "row_number() windowspecdefinition(doc_id" in plan
+    assert plan.count("_block") > 0
 
 
 def test_latest_of_a_hot_document(spark, rows):
@@ -64,7 +65,7 @@ def test_override_of_a_hot_document(spark, rows):
     )
     assert log.schema.names == schemas.FEEDBACK.names
     overrides = feedback.latest_overrides(log)
-    plan = overrides._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(overrides)
     assert "partial_max_by" in plan
     last = max(range(0, ROWS, 3), key=lambda i: (i // 100, str(i)))
     assert overrides.filter("doc_id = 'hot'").first().override == f"w{last}"
@@ -78,9 +79,17 @@ def test_entities_of_a_hot_document(spark, rows):
     assert len(hot.entities) == 50 and hot.person == "w59997"
 
 
-def test_hot_file_path(spark):
-    from docspark.sources.files import with_files
+def test_broadcast_only_when_measured_small(spark):
+    def hinted(frame):
+        return "ResolvedHint" in frame._jdf.queryExecution().analyzed().toString()
+
+    table = spark.range(100).selectExpr("id", "repeat('x', 1000) AS label")
+    assert hinted(broadcast_if_small(table))
+    assert not hinted(broadcast_if_small(table, max_rows=99))
+    assert not hinted(broadcast_if_small(table, max_bytes=100_000))
 
+
+def test_hot_file_path(spark):
     events = spark.range(ROWS).selectExpr("CAST(id AS STRING) AS doc_id", f"'/raw/' || {KEY} AS file_path")
     files = events.select(F.col("file_path").alias("path")).distinct().withColumn("length", F.lit(1).cast("bigint"))
     checked = with_files(events, files.filter("path <> '/raw/k1'"))

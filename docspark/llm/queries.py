@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docspark.llm import block_naming, line_frequency
+from docspark.llm import block_naming, histogram_sort, line_frequency, poisson_mix
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,54 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(table(spark, sf_dir, "documents")).drop("clean_text", "row")
 
 
+@query(
+    f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS identity,
+    strlen(coalesce(text, '')) + 1 AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS size, pow(sum(size), {poisson_mix.TEMPERATURE}::DOUBLE) AS weight FROM d GROUP BY source
+), r AS (
+  SELECT source, weight / sum(weight) OVER () * CAST(sum(size) OVER () AS DOUBLE) / size AS rate FROM s
+), p AS (
+  SELECT source, rate, greatest(CAST(ceil(rate / {poisson_mix.MAX_MEAN}) AS INT), 1) AS parts FROM r
+), cdf AS (
+  SELECT source, 0 AS k, exp(-rate / parts) AS term, exp(-rate / parts) AS p FROM p
+  UNION ALL
+  SELECT cdf.source, k + 1, term * (rate / parts) / (k + 1), cdf.p + term * (rate / parts) / (k + 1)
+  FROM cdf JOIN p ON cdf.source IS NOT DISTINCT FROM p.source WHERE k + 1 < {poisson_mix.TERMS}
+), u AS (
+  SELECT d.*, rate, part,
+    ('0x' || substr(md5('0|draw|' || identity || '|' || part), 1, 13))::BIGINT / pow(2::DOUBLE, 52) AS u
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, parts + 1)) AS part)
+), n AS (
+  SELECT doc_id, u.source, lang, n_chars, text, identity, rate, count(p)::INT AS copies
+  FROM u LEFT JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND cdf.p <= u.u
+  GROUP BY ALL
+), c AS (SELECT *, unnest(range(1, copies + 1))::INT AS copy FROM n)
+SELECT doc_id, source, lang, n_chars, text, copies, copy,
+  ('0x' || substr(md5('0|place|' || identity || '|' || copy), 1, 13))::BIGINT / pow(2::DOUBLE, 52) AS shuffle_key
+FROM c
+"""
+)
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.replicated(table(spark, sf_dir, "documents")).select("row.*", "copies", "copy", "shuffle_key")
+
+
+@query()
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.sharded(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query(
     r"""
 WITH t AS (

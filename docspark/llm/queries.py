@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import block_naming, histogram_sort, line_frequency, poisson_mix
+from docspark.llm import block_naming, bpe, histogram_sort, line_frequency, poisson_mix
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,13 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.token_digests(documents, path, public_tokenizers.PATTERN).drop("text")
+
+
 @query(
     r"""
 WITH t AS (

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import block_naming, bpe, histogram_sort, line_frequency, poisson_mix
+from docspark.llm import block_naming, bpe, histogram_sort, hyperminhash, line_frequency, poisson_mix
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,11 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(table(spark, sf_dir, "documents")).drop("clean_text", "row")
 
 
+@query()
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query(
     f"""
 WITH RECURSIVE d AS (

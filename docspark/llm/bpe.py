@@ -25,6 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from docspark.llm import common
+
 # Pieces kept per generation and the longest one kept.
 KEPT_PIECES = 200_000
 KEPT_BYTES = 64
@@ -215,7 +217,7 @@ def _mapped(docs: DataFrame, text_col: str, path: str, pattern: str, fields: lis
             old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*old, *columns], names=[*kept, *types.names])
 
-    return docs.mapInArrow(run, schema)
+    return common.map_in_arrow(docs, run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

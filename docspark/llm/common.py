@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.operators.small import shared_directory
 
@@ -37,6 +43,21 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
+def map_in_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """`mapInArrow` whose Python workers look for this library where the driver has it.
+
+    On a cluster that does not share the driver's folders the library is shipped
+    with the job, as for any Spark program in several files.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p and p != root]
+    environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df.mapInArrow(run, schema)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_directory(spark).rstrip('/')}/docspark-{spark.sparkContext.applicationId}"
 

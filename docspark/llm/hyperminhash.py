@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"_id {kind}, _n long, _digest binary, _registers array<smallint>"
-    return word_hashes(docs, id_col, text_col).mapInArrow(run, schema)
+    return common.map_in_arrow(word_hashes(docs, id_col, text_col), run, schema)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["_id", "_set"])
 
     schema = f"_id {dict(docs.dtypes)[id_col]}, _set array<bigint>"
-    return word_hashes(docs, id_col, text_col).mapInArrow(run, schema)
+    return common.map_in_arrow(word_hashes(docs, id_col, text_col), run, schema)
 
 
 def _collisions() -> float:
@@ -275,7 +275,7 @@ def near_groups(
             pairs = _to_hub(scored, F.struct(-F.coalesce("_score", F.lit(0.0)), F.col("_id")))
         links = _verified(pairs, reps, docs, id_col, text_col, shingle, percent)
         edges = edges.union(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if star < stars:
+        if star < stars and not links.isEmpty():
             edges = components(edges)
             score = links.groupBy(F.col("a").alias("_id")).agg(F.max("similarity").alias("_score"))
     everything = components(edges.union(same_set))

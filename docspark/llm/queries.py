@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import block_naming, bpe, histogram_sort, hyperminhash, line_frequency, poisson_mix
+from docspark.llm import block_naming, bpe, histogram_sort, hyperminhash, line_blocks, line_frequency, nbsvm, poisson_mix
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,17 @@ def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
+@query()
+def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return nbsvm.scored(documents, nbsvm.train(documents, table(spark, sf_dir, "labels")))
+
+
 @query(
     f"""
 WITH RECURSIVE d AS (

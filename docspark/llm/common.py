@@ -43,18 +43,22 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def map_in_arrow(
-    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
-) -> DataFrame:
-    """`mapInArrow` whose Python workers look for this library where the driver has it.
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers look for this library where the driver has it.
 
     On a cluster that does not share the driver's folders the library is shipped
     with the job, as for any Spark program in several files.
     """
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p and p != root]
     environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def map_in_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    on_workers(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -150,7 +150,7 @@ def dual_coordinate_descent(
         violations, staying = [0.0], []
         for n in order.permutation(active):
             slots, value, sign = rows[n], values[n], signs[n]
-            gradient = sign * (weights[slots] @ value + bias) - 1.0
+            gradient = sign * ((weights[slots] * value).sum() + bias) - 1.0
             if alphas[n] == 0.0 and gradient > bound:
                 continue  # far on the right side: left out of further epochs
             staying.append(n)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import block_naming, bpe, histogram_sort, hyperminhash, line_blocks, line_frequency, nbsvm, poisson_mix
-from docspark.llm.common import table
+from docspark.llm import block_naming, bpe, feistel, histogram_sort, hyperminhash, line_blocks, line_frequency, nbsvm, poisson_mix
+from docspark.llm.common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,6 +153,11 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.materialised(table(spark, sf_dir, "documents"), new_folder(spark), key=20)
+
+
 @query()
 def op9_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -2,10 +2,12 @@
 
 Every document's shingle hashes are dealt to registers by their upper bits. A
 register keeps the least of its hashes in a compressed form, the number of
-leading zeros and the mantissa bits after them: 16 bits in place of 64. Bands of
-registers are the keys under which documents become candidates; a pair's equal
-registers, less those expected to collide by chance, estimate its similarity;
-pairs that may reach the threshold are confirmed on their full sets.
+leading zeros and the mantissa bits after them: 15 bits in place of 64. A register
+without a hash borrows that of another one, by a fixed order of places, so that
+short documents have whole bands too. Bands of registers are the keys under which
+documents become candidates; a pair's equal own registers, less those expected to
+collide by chance, estimate its similarity; pairs that may reach the threshold
+are confirmed on their full sets.
 
 Documents of equal sets are one class, and its least id stands for it. Within a
 band key no pairs are enumerated as long as a star may do: all members are
@@ -38,7 +40,7 @@ REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 BAND = 4
 BANDS = REGISTERS // BAND
-MANTISSA_BITS = 10
+MANTISSA_BITS = 9
 PERCENT = 80
 # Standard deviations that an estimate may lie below the threshold.
 MARGIN = 5.0
@@ -66,19 +68,33 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(made)
 
 
+def _lenders() -> np.ndarray:
+    """For every register the others in an order of its own, that it borrows from."""
+    places = np.arange(REGISTERS, dtype=np.uint64)
+    order = _mixed((places[:, None] << np.uint64(32)) + places[None, :] + np.uint64(1))
+    return np.argsort(order, axis=1).T
+
+
+_LENDERS = _lenders()
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """Compressed least hash of each register, 0 where it has none."""
-    found = np.zeros(REGISTERS, dtype=np.uint16)
+    """Compressed least hash of each register; negative where it is borrowed, 0 for an empty set."""
+    found = np.zeros(REGISTERS, dtype=np.int16)
     if len(shingles) == 0:
         return found
     place = (shingles >> np.uint64(64 - REGISTER_BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))  # the sorted hashes of a register follow each other
     rest = (shingles[first] << np.uint64(REGISTER_BITS)) | np.uint64(1)
-    # The exponent of the number is its leading zeros; 63 suffices for what is left of 64 bits.
-    exponent = np.frexp(rest.astype(np.float64))[1]
-    zeros = np.clip(64 - exponent, 0, 62).astype(np.uint64)
+    zeros = np.clip(64 - np.frexp(rest.astype(np.float64))[1], 0, 62).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS)
-    found[place[first]] = ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS) | mantissa).astype(np.uint16)
+    found[place[first]] = ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS) | mantissa).astype(np.int16)
+    own, missing = found.copy(), np.flatnonzero(found == 0)
+    for lenders in _LENDERS:
+        if not len(missing):
+            break
+        found[missing] = -own[lenders[missing]]
+        missing = missing[found[missing] == 0]
     return found
 
 
@@ -107,7 +123,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 batch.column(0),
                 pa.array([n for n, _, _ in sets], pa.int64()),
                 pa.array([d for _, d, _ in sets], pa.binary()),
-                pa.array([r.view(np.int16) for _, _, r in sets], pa.list_(pa.int16())),
+                pa.array([r for _, _, r in sets], pa.list_(pa.int16())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_n", "_digest", "_registers"])
 
@@ -133,42 +149,45 @@ def _collisions() -> float:
     return sum(2.0 ** (-2 * z) for z in range(1, 63)) * 2.0**-MANTISSA_BITS
 
 
-def _register_counts(left: Column, right: Column) -> Column:
-    """Numbers of registers that are equal, and that either side uses."""
-    pairs = F.zip_with(left, right, lambda a, b: F.when((a == 0) & (b == 0), 0).when(a == b, 1001).otherwise(1))
-    # Equal ones count in the thousands, used ones in the units.
-    both = F.aggregate(pairs, F.lit(0), lambda total, x: total + x)
-    return F.struct(F.floor(both / 1000).alias("equal"), (both % 1000).alias("used"))
+def _with_own(rows: DataFrame) -> DataFrame:
+    """Adds the own registers as numbers of place and value, and their places."""
+    own = F.transform("_registers", lambda r, i: F.when(r > 0, i * (1 << 16) + r))
+    return rows.withColumn("_own", F.array_compact(own)).withColumn(
+        "_places", F.transform("_own", lambda x: F.shiftright(x, 16))
+    )
 
 
-def _may_link(left: Column, right: Column, percent: int) -> Column:
+def _may_link(own: tuple[str, str], places: tuple[str, str], percent: int) -> Column:
     """Whether the estimate, corrected for chance collisions, is within MARGIN deviations of the threshold."""
-    counts = _register_counts(left, right)
-    used = F.greatest(counts["used"], F.lit(1)).cast("double")
+    equal = F.size(F.array_intersect(*own))
+    used = (F.size(places[0]) + F.size(places[1]) - F.size(F.array_intersect(*places))).cast("double")
     chance = _collisions()
-    corrected = (counts["equal"] - chance * used) / ((1 - chance) * used)
+    corrected = (equal - chance * used) / ((1 - chance) * used)
     share = percent / 100
     return corrected >= share - MARGIN * F.sqrt(F.lit(share * (1 - share)) / used)
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
-    """One row per band that has a register: `_key` and `_id`."""
-    part = lambda b: F.slice("_registers", b * BAND + 1, BAND)
+    """One row per band: `_key` and `_id`."""
+    values = reps.select("_id", F.transform("_registers", lambda r: F.abs(r)).alias("_values"))
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.when(F.exists(part(b), lambda r: r != 0), F.xxhash64(b, part(b))),
+        lambda b: F.xxhash64(b, F.slice("_values", b * BAND + 1, BAND)),
     )
-    return reps.select("_id", F.explode(F.array_compact(keys)).alias("_key"))
+    return values.select("_id", F.explode(keys).alias("_key"))
+
+
+def _renamed(n: str) -> list[Column]:
+    return [F.col("_n").alias(f"n{n}"), F.col("_own").alias(f"o{n}"), F.col("_places").alias(f"p{n}")]
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
     """`a`, `b` and `similarity` of the pairs that are linked; the estimate is taken first."""
-    side = lambda n: reps.select(
-        F.col("_id").alias(n), F.col("_n").alias(f"n{n}"), F.col("_registers").alias(f"r{n}")
-    )
+    full = _with_own(reps)
+    side = lambda n: full.select(F.col("_id").alias(n), *_renamed(n))
     close = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(close)
-    candidates = common.stored(likely.filter(_may_link(F.col("ra"), F.col("rb"), percent)).select("a", "b"))
+    candidates = common.stored(likely.filter(_may_link(("oa", "ob"), ("pa", "pb"), percent)).select("a", "b"))
     ids = candidates.select(F.col("a").alias("_id")).union(candidates.select(F.col("b").alias("_id")))
     wanted = broadcast_if_small(common.stored(ids.distinct()), max_rows=MAX_IDS)
     involved = docs.join(wanted, docs[id_col] == wanted["_id"], "left_semi")
@@ -213,17 +232,15 @@ def _outside(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("_key", "_c").agg(F.count("*").alias("_members"))
     main = sizes.groupBy("_key").agg(F.max_by("_c", F.struct("_members", "_c")).alias("_main"))
     full = rows.join(reps.select("_id", "_n", "_registers"), "_id")
-    left = full.join(main, "_key").filter("_c != _main").select(
-        "_key", F.col("_id").alias("a"), F.col("_c").alias("ca"), F.col("_n").alias("na"), F.col("_registers").alias("ra")
-    )
-    right = full.select(
-        "_key", F.col("_id").alias("b"), F.col("_c").alias("cb"), F.col("_n").alias("nb"), F.col("_registers").alias("rb")
+    side = lambda rows, n: _with_own(rows).select(
+        "_key", F.col("_id").alias(n), F.col("_c").alias(f"c{n}"), *_renamed(n)
     )
+    left, right = side(full.join(main, "_key").filter("_c != _main"), "a"), side(full, "b")
     condition = (
         (left["_key"] == right["_key"])
         & (F.col("ca") != F.col("cb"))
         & (F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
-        & _may_link(F.col("ra"), F.col("rb"), percent)
+        & _may_link(("oa", "ob"), ("pa", "pb"), percent)
     )
     return _ordered(left.join(right, condition).select("a", "b"))
 

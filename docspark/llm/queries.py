@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import block_naming, bpe, feistel, histogram_sort, hyperminhash, line_blocks, line_frequency, nbsvm, poisson_mix
+from docspark.llm import (
+    block_naming,
+    bpe,
+    feistel,
+    histogram_sort,
+    hyperminhash,
+    line_blocks,
+    line_frequency,
+    nbsvm,
+    poisson_mix,
+    tool_calls,
+)
 from docspark.llm.common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +164,81 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Calls of two tools made of the turns of users, and results made of the answers.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "store": {"query": ("string", True), "tags": ("array", True)},
+}
+_SECOND = "CASE WHEN conv_id % 2 = 0 THEN '\"limit\": ' || CASE WHEN turn % 8 = 4 THEN '\"all\"' ELSE CAST(length(text) % 50 AS {text}) END ELSE '\"tags\": [ \"t' || CAST(turn AS {text}) || '\", 1 ]' END"
+_ARGUMENTS = (
+    "CASE WHEN conv_id % 23 = 5 THEN '{{ \"query\": ' WHEN conv_id % 17 = 3 THEN '{{ ' || " + _SECOND + " || ', \"mode\": 1 }}' "
+    "ELSE '{{ \"query\" : ' || {quoted} || ', ' || " + _SECOND + " || ' }}' END"
+)
+_ID = "'c' || CAST(conv_id AS {text}) || '-' || CAST({turn} AS {text})"
+
+
+@query(
+    f"""
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, {_ID.format(text="VARCHAR", turn="turn")} AS call_id,
+    CASE WHEN conv_id % 2 = 0 THEN 'search' ELSE 'store' END AS name,
+    {_ID.format(text="VARCHAR", turn="turn // 4 * 2")} AS after,
+    conv_id % 23 = 5 AS broken, conv_id % 17 = 3 AS bare, turn % 8 = 4 AS odd,
+    length(text) % 50 AS lim, text
+  FROM conversations WHERE role = 'user'
+), results AS (
+  SELECT conv_id, {_ID.format(text="VARCHAR", turn="turn - 1")} AS call_id, text AS content
+  FROM conversations WHERE role = 'assistant'
+), placed AS (
+  SELECT c.conv_id, c.call_id, c.turn, 0 AS level FROM calls c
+  WHERE c.after = c.call_id OR NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL
+  SELECT c.conv_id, c.call_id, c.turn, level + 1 FROM calls c JOIN placed p
+  ON p.conv_id = c.conv_id AND p.call_id = c.after AND c.after <> c.call_id
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position FROM placed
+), checked AS (
+  SELECT *, CASE WHEN broken THEN 'no JSON'
+    WHEN bare AND name = 'search' AND odd THEN 'missing query; limit is no integer; unknown mode'
+    WHEN bare THEN 'missing query; unknown mode'
+    WHEN name = 'search' AND odd THEN 'limit is no integer' ELSE '' END AS errors,
+    CASE WHEN broken THEN 'null' ELSE '{{' ||
+      CASE WHEN name = 'search' THEN '"limit":' || CASE WHEN odd THEN '"all"' ELSE CAST(lim AS VARCHAR) END || ',' ELSE '' END ||
+      CASE WHEN bare THEN '"mode":1' ELSE '"query":' || CAST(to_json(text) AS VARCHAR) END ||
+      CASE WHEN name = 'store' THEN ',"tags":["t' || CAST(turn AS VARCHAR) || '",1]' ELSE '' END || '}}' END AS arguments
+  FROM calls
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.name,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  o.level, o.position,
+  (c.call_id IS NOT NULL)::BIGINT AS n_calls, (r.call_id IS NOT NULL)::BIGINT AS n_results, c.errors,
+  '{{"arguments":' || coalesce(arguments, 'null')
+    || ',"call_id":"' || coalesce(c.call_id, r.call_id) || '","content":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null')
+    || ',"name":' || coalesce('"' || c.name || '"', 'null') || '}}' AS message
+FROM checked c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN ordered o ON o.conv_id = c.conv_id AND o.call_id = c.call_id
+"""
+)
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    identifier = _ID.format(text="STRING", turn="turn")
+    parent = _ID.format(text="STRING", turn="turn div 4 * 2")
+    arguments = _ARGUMENTS.format(text="STRING", quoted="substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    calls = turns.filter("role = 'user'").selectExpr(
+        "conv_id",
+        "turn",
+        f"{identifier} AS call_id",
+        "CASE WHEN conv_id % 2 = 0 THEN 'search' ELSE 'store' END AS name",
+        f"{arguments} AS arguments",
+        f"CASE WHEN {parent} <> {identifier} THEN array({parent}) ELSE array() END AS after",
+    )
+    previous = _ID.format(text="STRING", turn="turn - 1")
+    results = turns.filter("role = 'assistant'").selectExpr(
+        "conv_id", "turn", f"{previous} AS call_id", "text AS content"
+    )
+    return tool_calls.linked(calls, results, TOOLS)
+
+
 @query()
 def op8_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.materialised(table(spark, sf_dir, "documents"), new_folder(spark), key=20)

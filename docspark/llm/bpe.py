@@ -204,8 +204,8 @@ def _mapped(docs: DataFrame, text_col: str, path: str, pattern: str, fields: lis
     A new column replaces one of its name.
     """
     tokens = _vocabulary(docs.sparkSession, path)
-    names = {f.name for f in fields}
-    kept = [c for c in docs.columns if c not in names]
+    names = {f.name.lower() for f in fields}
+    kept = [c for c in docs.columns if c.lower() not in names]
     schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
     types = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
 

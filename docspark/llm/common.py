@@ -34,6 +34,11 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.struct(row_id.alias("id"), text_tag(text).alias("tag"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever they are called."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters that are no white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

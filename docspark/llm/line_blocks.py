@@ -207,7 +207,7 @@ def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text")
     kept, and one that is called `text_col` is replaced. An empty table gives no
     rows.
     """
-    kept = [c for c in pages.columns if c not in (html_col, text_col)]
+    kept = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower())]
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

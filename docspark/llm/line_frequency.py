@@ -68,7 +68,7 @@ def base_metrics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(
         common.row_key(F.col(id_col), F.col(text_col)).alias("_key"),
-        F.struct(*docs.columns).alias("_row"),
+        common.whole_row(docs).alias("_row"),
         text.alias("_text"),
         common.words(text).alias("_words"),
     )

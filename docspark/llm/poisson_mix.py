@@ -109,7 +109,7 @@ def replicated(
     keyed = docs.select(
         F.struct(F.col(source_col).cast("string").alias("source")).alias("_source"),
         identity.alias("_identity"),
-        F.struct(*docs.columns).alias("row"),
+        common.whole_row(docs).alias("row"),
     )
     drawn = keyed.join(rates, "_source").withColumn(
         "_draws",

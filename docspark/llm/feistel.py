@@ -155,24 +155,28 @@ def ordered(rows: DataFrame, stride: int, fill: int, key: int) -> tuple[DataFram
     common.on_workers(rows.sparkSession)
     first, total = numbered(rows)
     first = broadcast_if_small(common.stored(first), max_rows=MAX_ROWS)
-    parts = (
-        rows.dropDuplicates(["_key"]) if _repeats(first) else rows
-    ).join(first, "_key").select(
+    whole = rows.dropDuplicates(["_key"]) if _repeats(first) else rows
+
+    def piece(place: Column) -> Column:
+        part = place % F.col("_n")
+        data = F.substring("_payload", (part * stride + 1).cast("int"), F.lit(stride))
+        record = F.rpad(data, stride, F.lit(bytes([fill])))
+        return F.struct(
+            (F.col("_first") + place).alias("number"),
+            part.alias("part"),
+            F.octet_length(data).alias("size"),
+            record.alias("record"),
+        )
+
+    # The pieces of a text are cut before they become rows, so no row carries the whole text.
+    places = F.sequence(F.lit(0).cast("long"), F.col("_n") * F.col("_copies") - 1)
+    cut = whole.join(first, "_key").select("_id", F.explode(F.transform(places, piece)).alias("_piece"))
+    return cut.select(
+        slot_of(F.col("_piece.number"), max(total, 1), key).alias("_slot"),
         "_id",
-        "_payload",
-        "_first",
-        "_n",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") * F.col("_copies") - 1)).alias("_place"),
-    )
-    part = F.col("_place") % F.col("_n")
-    piece = F.substring("_payload", (part * stride + 1).cast("int"), F.lit(stride))
-    filled = F.rpad(piece, stride, F.lit(bytes([fill])))
-    return parts.select(
-        slot_of(F.col("_first") + F.col("_place"), max(total, 1), key).alias("_slot"),
-        "_id",
-        part.alias("_part"),
-        F.octet_length(piece).alias("_size"),
-        filled.alias("_record"),
+        F.col("_piece.part").alias("_part"),
+        F.col("_piece.size").alias("_size"),
+        F.col("_piece.record").alias("_record"),
     ), total
 
 

@@ -12,7 +12,7 @@ from docspark.operators import keyed
 
 
 def score(value: Column) -> Column:
-    return F.round(F.coalesce(value.cast("double"), F.lit(0.0)), 4)
+    return F.round(F.coalesce(value.try_cast("double"), F.lit(0.0)), 4)
 
 
 def entity_items(response: Column) -> Column:

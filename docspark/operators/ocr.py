@@ -45,7 +45,7 @@ def clean_words(words: DataFrame) -> DataFrame:
             "page",
             "pos",
             "text",
-            *(F.col(name).cast("int").alias(name) for name in _GEOMETRY),
+            *(F.col(name).try_cast("int").alias(name) for name in _GEOMETRY),
             (F.col("confidence") / 100.0).alias("confidence"),
         )
     )

@@ -44,11 +44,12 @@ def processed_manifest(events: DataFrame, uri: Column, at: Column) -> DataFrame:
 
 
 def manifest_status(log: DataFrame) -> DataFrame:
-    """Current manifest of every upload: the last row written.
+    """Current manifest of every upload: the last row of its furthest status.
 
-    Of rows written at the same time the processed one is the later.
+    A landing batch that is run again writes its queued rows once more; an upload
+    that has been processed stays processed.
     """
-    newest_first = [F.col("ts").desc(), (F.col("status") == PROCESSED).desc()]
+    newest_first = [(F.col("status") == PROCESSED).desc(), F.col("ts").desc()]
     return keyed.latest_rows(log, ["doc_id"], newest_first)
 
 

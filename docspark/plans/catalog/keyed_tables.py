@@ -9,7 +9,7 @@ from docspark.operators import feedback as fb
 from docspark.operators import tables
 from docspark.plans import corpora
 from docspark.plans.catalog.registry import query
-from docspark.sources import files, messages
+from docspark.sources import files, messages, store
 
 _DECODED = f"""{corpora.with_tables("upload_values")}, decoded AS (
   SELECT seq, value, CASE WHEN ok THEN value->>'doc_id' END AS doc_id,
@@ -86,7 +86,7 @@ _MANIFEST_LOG = """SELECT 'u' || CAST(event_id % 997 AS STRING) AS doc_id,
 
 @query(
     f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
-      ORDER BY ts DESC, CAST(status = 'processed' AS INT) DESC) AS rn FROM ({_MANIFEST_LOG}))
+      ORDER BY CAST(status = 'processed' AS INT) DESC, ts DESC) AS rn FROM ({_MANIFEST_LOG}))
       WHERE rn = 1"""
 )
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,55 @@ def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.manifest_status(spark.sql(_MANIFEST_LOG.replace("FROM events", "FROM _events")))
 
 
+# The log after every queued row was written once more, a day later.
+_REPLAYED = f"""SELECT * FROM ({_MANIFEST_LOG}) UNION ALL
+  SELECT doc_id, file_path, doc_type, status,
+    CAST(CAST(substr(ts, 1, 4) AS INT) + 1 AS STRING) || substr(ts, 5) AS ts, processed_uri
+  FROM ({_MANIFEST_LOG}) WHERE status = 'queued'"""
+
+
+@query(
+    f"""SELECT doc_id, max(status) AS status, max(processed_uri) FILTER (WHERE ts = newest) AS processed_uri
+      FROM (SELECT doc_id, CASE WHEN bool_or(status = 'processed') OVER (PARTITION BY doc_id)
+          THEN 'processed' ELSE 'queued' END AS status, processed_uri, ts,
+        max(CASE WHEN status = 'processed' THEN ts END) OVER (PARTITION BY doc_id) AS newest
+        FROM ({_REPLAYED})) GROUP BY doc_id"""
+)
+def manifest_after_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landing batch that is run again takes nothing back."""
+    corpora.read(spark, sf_dir, "events").createOrReplaceTempView("_events")
+    log = spark.sql(_REPLAYED.replace("FROM events", "FROM _events"))
+    return tables.manifest_status(log).select("doc_id", "status", "processed_uri")
+
+
+@query(
+    f"""{_DECODED}, files AS ({_FILES}) SELECT seq, doc_id, max(length) AS length,
+      CASE WHEN max(length) IS NULL THEN 'file_not_found' END AS reason
+      FROM decoded LEFT JOIN files ON replace(path, 'file:/', 'file:///') = file_path
+      WHERE reason IS NULL GROUP BY seq, doc_id"""
+)
+def files_landed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path that was landed three times leaves an event one event."""
+    decoded = messages.decode_uploads(corpora.upload_values(spark, sf_dir))
+    corpora.read(spark, sf_dir, "documents").createOrReplaceTempView("_documents")
+    scanned = spark.sql(_FILES.replace("FROM documents", "FROM _documents"))
+    shorter = scanned.withColumn("length", F.floor(F.col("length") / 2))
+    landed = scanned.unionByName(scanned).unionByName(shorter)
+    return files.with_files(messages.valid(decoded), landed).select("seq", "doc_id", "length", "reason")
+
+
+@query(
+    f"""{corpora.with_tables("feedback")} SELECT event_id, doc_id, field, predicted, actual, ts
+      FROM feedback"""
+)
+def feedback_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which every second one comes again, some with an older stamp and value."""
+    events = corpora.feedback(spark, sf_dir)
+    again = events.filter(F.col("event_id").cast("bigint") % 2 == 0)
+    older = again.filter("ts IS NOT NULL").withColumns({"ts": F.lit("1970"), "actual": F.lit("old")})
+    return store.latest_feedback(events.unionByName(again).unionByName(older))
+
+
 @query(
     f"""{corpora.with_tables("mixed")}, done AS (SELECT 'plain-' || CAST(user_id AS STRING) AS doc_id,
       '/out/' || CAST(max(event_id) AS STRING) AS processed_uri FROM events GROUP BY 1)

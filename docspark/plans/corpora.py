@@ -92,15 +92,8 @@ _WORD_SPLIT = r"[\t\n\f\r ]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table, spread over the cores if it has fewer parts than cores.
-
-    Rendering and reading text is work of the processor, and a table of one
-    small file would leave it to one task. A table of many parts is left as it
-    is and costs no shuffle here.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A given table, in the parts its files have."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _rendered(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark import schemas
+from docspark.operators import keyed
 from docspark.operators.doctype import with_doc_type
 from docspark.operators.entities import with_enrichment
 from docspark.operators.fields import with_fields
@@ -23,7 +24,7 @@ DOC_BUCKET = "doc_bucket"
 class DocumentTables:
     """Tables the readers and language services fill, keyed by doc_id.
 
-    texts:        doc_id, text
+    texts:        doc_id, text, and the ``arrival`` columns that order its versions
     blocks:       cleaned word or line rows, in ``block_order``
     entities:     doc_id, pos, Text, Type, Score
     key_phrases:  doc_id, pos, Text, Score
@@ -37,6 +38,7 @@ class DocumentTables:
     entities: DataFrame | None = None
     key_phrases: DataFrame | None = None
     buckets: int = 1024
+    arrival: tuple[str, ...] = ()
 
     def restricted(self, ids: DataFrame) -> DocumentTables:
         """The tables cut to some documents before anything is grouped.
@@ -59,7 +61,7 @@ class DocumentTables:
 
         texts, blocks, entities, key_phrases = map(cut, given)
         return DocumentTables(
-            texts, blocks, self.block_order, entities, key_phrases, self.buckets
+            texts, blocks, self.block_order, entities, key_phrases, self.buckets, self.arrival
         )
 
     def _needed_buckets(self, keys: DataFrame) -> list[int]:
@@ -75,10 +77,14 @@ def doc_bucket(doc_id, buckets: int):
 def documents(tables: DocumentTables) -> DataFrame:
     """One row per document with text, layout and enrichment.
 
+    Of a text that was written more than once the last one counts; without
+    ``arrival`` columns, the last in the order of texts.
     All inputs are grouped by doc_id and stay partitioned by it, so these joins
     add no shuffle of their own.
     """
-    texts = tables.texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    given = tables.texts.withColumn("text", F.coalesce("text", F.lit("")))
+    newest = [F.col(name).desc() for name in (*tables.arrival, "text")]
+    texts = keyed.latest_rows(given, ["doc_id"], newest).select("doc_id", "text")
     docs = with_enrichment(texts, tables.entities, tables.key_phrases)
     if tables.blocks is None:
         empty = f"array<{schemas.LAYOUT_BLOCK.simpleString()}>"

@@ -59,9 +59,14 @@ def landed_uploads(files: DataFrame, hint: str = P.UNKNOWN) -> DataFrame:
 def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
     """Events with their file's ``length``; ``reason`` set where it is missing.
 
-    One scan of the file table by path, not one fetch per event.
+    One scan of the file table by path, not one fetch per event. Of a path that
+    was landed more than once the latest file counts, or the longest where the
+    table has no ``modificationTime``; the events stay as many as they are.
     """
-    found = files.select(paths.path_key(F.col("path")).alias("_path"), "length")
+    order = "modificationTime" if "modificationTime" in files.columns else "length"
+    found = files.groupBy(paths.path_key(F.col("path")).alias("_path")).agg(
+        F.max_by("length", order).alias("length")
+    )
     joined = events.withColumn("_path", paths.path_key(F.col("file_path"))).join(
         found, "_path", "left"
     )

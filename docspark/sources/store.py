@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from docspark import schemas
 from docspark.functions.times import utc_iso
-from docspark.operators import tables
+from docspark.operators import keyed, tables
 from docspark.operators.payload import payload_json
 from docspark.sources.messages import json_object
 
@@ -54,6 +54,10 @@ class Store:
     def feedback(self) -> str:
         return f"{self.base}/feedback"
 
+    @property
+    def feedback_dead_letters(self) -> str:
+        return f"{self.base}/feedback_dead_letters"
+
     @property
     def raw(self) -> str:
         return f"{self.base}/raw"
@@ -157,19 +161,29 @@ def recorded(corrections: DataFrame) -> DataFrame:
 
 
 def feedback(spark: SparkSession, store: Store) -> DataFrame:
-    return (
+    """The log with one row per event: an event that came again replaces itself."""
+    log = (
         spark.read.schema(schemas.FEEDBACK)
         .option("recursiveFileLookup", "true")
         .parquet(store.feedback)
     )
+    return latest_feedback(log)
+
+
+def latest_feedback(log: DataFrame) -> DataFrame:
+    """Last write of every event id, by ``ts``; equal ones by their other columns."""
+    others = [name for name in schemas.FEEDBACK.names if name not in ("event_id", "ts")]
+    newest = [F.col(name).desc_nulls_last() for name in ("ts", *others)]
+    return keyed.latest_rows(log, ["event_id"], newest)
 
 
 def raw_files(spark: SparkSession, store: Store) -> DataFrame:
-    """Path and length of the files the landing job has taken in.
+    """Path, length and time of the files the landing job has taken in.
 
-    Only these two columns are read, not the contents.
+    Only these columns are read, not the contents.
     """
-    return spark.read.parquet(store.raw).select(F.col("file_path").alias("path"), "length")
+    raw = spark.read.parquet(store.raw)
+    return raw.select(F.col("file_path").alias("path"), "length", "modificationTime")
 
 
 def write_processed_json(df: DataFrame, directory: str) -> None:

@@ -13,10 +13,17 @@ from docspark import schemas
 from docspark.sources import messages, store, topics
 
 
-def decode(values: DataFrame) -> DataFrame:
-    """Feedback events of JSON values; text that is no object is dropped."""
-    rows = values.select(messages.json_object(F.col("value"), schemas.FEEDBACK).alias("_row"))
-    return rows.filter(F.col("_row").isNotNull()).select("_row.*")
+def decode(batch: DataFrame) -> DataFrame:
+    """Feedback events of (value, seq), with a ``reason`` where a value is no JSON object.
+
+    Empty messages are skipped, as in the upload topic.
+    """
+    rows = batch.select(F.col("value").cast("string").alias("value"), "seq").filter(
+        F.coalesce("value", F.lit("")) != ""
+    )
+    parsed = rows.withColumn("_row", messages.json_object(F.col("value"), schemas.FEEDBACK))
+    reason = F.when(F.col("_row").isNull(), messages.INVALID_JSON)
+    return parsed.select("value", "seq", "_row.*", reason.alias("reason"))
 
 
 @dataclass(frozen=True)
@@ -25,8 +32,13 @@ class FeedbackJob:
     publish: Callable[[DataFrame, int], None] | None = None
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """Writes the events and, apart from them, what could not be read."""
         spark = batch.sparkSession
-        location = store.write_batch(store.with_ids(decode(batch)), self.store.feedback, batch_id)
+        decoded = decode(batch)
+        letters = messages.dead_letters(decoded).select("value", "seq", "reason")
+        store.write_batch(letters, self.store.feedback_dead_letters, batch_id)
+        events = messages.valid(decoded).select(*schemas.FEEDBACK.names)
+        location = store.write_batch(store.with_ids(events), self.store.feedback, batch_id)
         if self.publish is not None:
             events = spark.read.schema(schemas.FEEDBACK).parquet(location)
             value = messages.event_json(events, schemas.FEEDBACK)

@@ -112,10 +112,12 @@ class LandingJob:
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         landed = raw_files.landed_uploads(batch, self.hint)
-        columns = ["doc_id", "file_path", "doc_type", "stored_name", "storage", "length", "content"]
+        columns = ["doc_id", "file_path", "doc_type", "stored_name", "storage", "length"]
+        columns += ["modificationTime", "content"]
         location = store.write_batch(landed.select(columns), self.store.raw, batch_id)
         uploads = spark.read.parquet(location).drop("content")
-        manifest = tables.queued_manifest(uploads, F.current_timestamp())
+        # The file's own time: a batch that is run again writes the same rows.
+        manifest = tables.queued_manifest(uploads, F.col("modificationTime"))
         store.write_manifest(manifest, self.store, "landing", batch_id)
         if self.publish is not None:
             value = messages.event_json(uploads, schemas.UPLOAD_EVENT)

@@ -214,5 +214,7 @@ def test_feedback_stream(spark, tmp_path):
     feedback.start(source, job, str(tmp_path / "cp")).awaitTermination()
     log = {r.doc_id: r for r in store.feedback(spark, where).collect()}
     assert log["b"].event_id == "e" and log["a"].event_id
+    letters = spark.read.parquet(where.feedback_dead_letters).collect()
+    assert [(r.value, r.reason) for r in letters] == [("[]", "invalid_json_object")]
     sent = {r.key: json.loads(r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert sent["a"] == {**dict.fromkeys(schemas.FEEDBACK.names), **rows[0], "event_id": log["a"].event_id}

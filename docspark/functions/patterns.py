@@ -59,7 +59,7 @@ ALNUM_ANY_CASE = "A-Z0-9İıſK"
 I = "[i\u0130\u0131]"  # noqa: E741
 S = "[s\u017f]"
 
-EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
+EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE = rf"\+?{DIGIT}[{DIGIT}{SPACE}\-().]{{8,}}{DIGIT}"
 SKILL = rf"[A-Za-z][A-Za-z0-9+#.{SPACE}]{{1,24}}"
 INVOICE_NUMBER = (
@@ -100,4 +100,4 @@ PDF_FAILED = "[pdf conversion failed: %s]"
 # The first e-mail always starts where a run of local-part characters starts,
 # and '@' is no such character. Saying so keeps the search linear on long
 # unbroken runs (base64, hashes), where the plain form is quadratic.
-EMAIL_SEARCH = r"(?<![a-zA-Z0-9_.+-])[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
+EMAIL_SEARCH = r"(?<![a-zA-Z0-9_.+-])[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+# A master of several processes, as local-cluster, is none.
+_LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?")
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -15,13 +18,16 @@ MAX_BROADCAST_BYTES = 64 << 20
 def shared_directory(spark: SparkSession) -> str:
     """Folder all executors see, as named by the session.
 
-    Only where none is named (tests on one machine) a temporary one is made.
+    Where none is named, a temporary one is made if driver and executors are one
+    process on this machine, and an error is raised on a cluster.
     """
     named = spark.conf.get(_CHECKPOINT_DIR, None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not _LOCAL_MASTER.fullmatch(context.master):
+            raise ValueError(f"{_CHECKPOINT_DIR} must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docspark-"))
     return context.getCheckpointDir()
 

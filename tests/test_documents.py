@@ -7,9 +7,10 @@ import pytest
 import rules
 from pyspark.sql import functions as F
 
-from docspark.functions import pyjson
+from docspark.functions import patterns, pyjson
 from docspark.functions.text import first_line, non_blank_lines, strip, truncate_utf8
-from docspark.operators.doctype import with_doc_type
+from docspark.operators import fields
+from docspark.operators.doctype import keyword_scores, with_doc_type
 from docspark.operators.fields import with_fields
 from docspark.operators.payload import fields_json
 from docspark.plans import corpora
@@ -128,26 +129,44 @@ def test_edge_rows(spark):
     got = extract(spark, [(text, hint) for text, hint, *_ in EDGES])
     for row, (text, _, doc_type, confidence, some) in zip(got, EDGES, strict=True):
         assert (row["doc_type"], row["confidence"]) == (doc_type, confidence), text
-        fields = json.loads(row["fields"])
-        assert {name: fields[name] for name in some} == some, text
-
-
-def test_rules_on_unicode_and_random_text(spark):
-    hints = [None, "resume", "invoice", "kyc", "unknown", "", "Kyc"]
-    texts = [t for t, *_ in EDGES] + UNICODE + random_texts(400)
-    rows = [(text, hint) for text in texts for hint in hints]
-    for row, (text, hint) in zip(extract(spark, rows), rows, strict=True):
-        expected = rules.extracted(text, hint)
-        assert {name: row[name] for name in expected} == expected, (text, hint)
-
-
-@pytest.mark.parametrize("hint", [None, "resume", "invoice", "kyc"])
-def test_rules_on_documents(spark, sf_dir, hint):
-    texts = [r.text for r in corpora.read(spark, sf_dir, "documents").select("text").collect()]
-    rows = [(text, hint) for text in texts]
-    for row, (text, _) in zip(extract(spark, rows), rows, strict=True):
-        expected = rules.extracted(text, hint)
-        assert {name: row[name] for name in expected} == expected
+        values = json.loads(row["fields"])
+        assert {name: values[name] for name in some} == some, text
+
+
+def found(frame, *expressions):
+    return [tuple(row) for row in frame.select("text", *expressions).collect()]
+
+
+def test_each_pattern_alone(spark, sf_dir):
+    """Every pattern against its plain value, on Unicode, random text and documents."""
+    t = F.col("text")
+    documents = corpora.read(spark, sf_dir, "documents").select("text")
+    made = [(x,) for x in [e[0] for e in EDGES] + UNICODE + random_texts(600)]
+    frame = spark.createDataFrame(made, "text STRING").union(documents)
+    single = {
+        rules.EMAIL: fields.email(t),
+        rules.INVOICE_NUMBER: fields.invoice_number(t),
+        rules.BIRTH_DATE: fields.birth_date(t),
+        rules.DOCUMENT_ID: fields.document_id(t),
+    }
+    for text, *got in found(frame, *single.values()):
+        for pattern, value in zip(single, got, strict=True):
+            match = pattern.search(text)
+            assert value == (match and match[pattern.groups]), (pattern.pattern, text)
+    repeated = {rules.PHONE: patterns.PHONE, rules.AMOUNT: patterns.AMOUNT, rules.SKILL: patterns.SKILL}
+    everywhere = [F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in repeated.values()]
+    for text, *got in found(frame, *everywhere):
+        for pattern, values in zip(repeated, got, strict=True):
+            assert values == pattern.findall(text), (pattern.pattern, text)
+
+
+def test_keywords_alone(spark, sf_dir):
+    documents = corpora.read(spark, sf_dir, "documents").select("text")
+    made = [(x,) for x in [e[0] for e in EDGES] + UNICODE + random_texts(600)]
+    frame = spark.createDataFrame(made, "text STRING").union(documents)
+    for text, scores in found(frame, keyword_scores(F.col("text"))):
+        for doc_type, words in rules.KEYWORDS.items():
+            assert scores[doc_type] == [word in text.lower() for word in words].count(True)
 
 
 def test_strip_and_lines(spark):
@@ -156,7 +175,7 @@ def test_strip_and_lines(spark):
     t = F.col("t")
     rows = frame.select("t", strip(t), non_blank_lines(t), first_line(t)).collect()
     for text, stripped, lines, first in rows:
-        expected = rules.lines(text)
+        expected = [line.strip() for line in text.splitlines() if line.strip()]
         assert stripped == text.strip()
         assert lines == expected
         assert first == next(iter(expected), None)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.functions.times import utc_iso
-from docspark.operators import dataset, feedback, scoring, tables, terms
+from docspark.operators import dataset, feedback, scoring, small, tables, terms
 from docspark.plans import corpora
 from docspark.sources import files, messages, store
 
@@ -248,3 +248,27 @@ def test_utc_text(spark, zone):
 def test_reading_a_table_deals_out_nothing(spark, sf_dir):
     plan = corpora.read(spark, sf_dir, "documents")._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Repartition" not in plan
+
+
+class _Cluster:
+    """A session as it looks on a cluster without a shared folder."""
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():  # noqa: N802
+            return None
+
+    class conf:  # noqa: N801
+        @staticmethod
+        def get(name, default):
+            return default
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_its_shared_folder(master):
+    session = _Cluster()
+    session.sparkContext.master = master
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        small.shared_directory(session)

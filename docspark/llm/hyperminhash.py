@@ -14,7 +14,11 @@ band key no pairs are enumerated as long as a star may do: all members are
 compared with one hub, then with the member that came closest to a hub (of a
 group of edited copies, the one with fewest edits), and components are merged.
 Only members left outside the main component of their key are then compared with
-all other members, so that no link between components is missed.
+all other members, so that no link between components is missed. Before that, the
+shingles that no other document left has are counted: they can be in no overlap,
+so they bound a document's similarity to any other from above, without loss. A
+copy edited too much to be linked, or a text that shares one passage with many
+others, is found alone by this bound and is compared with nobody.
 
 Keys are counted by partial sums; joins on keys and hubs are split by the
 adaptive skew join. Full sets are made only for documents that are in candidates.
@@ -181,17 +185,28 @@ def _renamed(n: str) -> list[Column]:
     return [F.col("_n").alias(f"n{n}"), F.col("_own").alias(f"o{n}"), F.col("_places").alias(f"p{n}")]
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
-    """`a`, `b` and `similarity` of the pairs that are linked; the estimate is taken first."""
+def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Full sets of the documents of some ids."""
+    wanted = broadcast_if_small(common.stored(ids.distinct()), max_rows=MAX_IDS)
+    involved = docs.join(wanted, docs[id_col] == wanted["_id"], "left_semi")
+    return common.stored(full_sets(involved, id_col, text_col, size))
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and estimate allow a link."""
     full = _with_own(reps)
     side = lambda n: full.select(F.col("_id").alias(n), *_renamed(n))
     close = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(close)
-    candidates = common.stored(likely.filter(_may_link(("oa", "ob"), ("pa", "pb"), percent)).select("a", "b"))
-    ids = candidates.select(F.col("a").alias("_id")).union(candidates.select(F.col("b").alias("_id")))
-    wanted = broadcast_if_small(common.stored(ids.distinct()), max_rows=MAX_IDS)
-    involved = docs.join(wanted, docs[id_col] == wanted["_id"], "left_semi")
-    sets = common.stored(full_sets(involved, id_col, text_col, size))
+    return common.stored(likely.filter(_may_link(("oa", "ob"), ("pa", "pb"), percent)).select("a", "b"))
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id")))
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`a`, `b` and `similarity` of the pairs that are linked by their full sets."""
     left, right = (sets.select(F.col("_id").alias(n), F.col("_set").alias(f"s{n}")) for n in "ab")
     common_size = F.size(F.array_intersect("sa", "sb"))
     exact = (
@@ -224,22 +239,40 @@ def _to_hub(rows: DataFrame, rank: Column) -> DataFrame:
     return _ordered(joined.select(F.col("_id").alias("a"), F.col("_hub._id").alias("b")))
 
 
-def _outside(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """`_id` and how many of its shingles another document of `sets` has too.
+
+    A document of several texts counts all of them.
+    """
+    rows = sets.groupBy("_id").agg(F.count("*").alias("_texts"), F.max(F.size("_set")).alias("_size"))
+    shingles = sets.select("_id", F.explode("_set").alias("_shingle"))
+    lone = shingles.groupBy("_shingle").agg(F.count("*").alias("_documents"), F.min("_id").alias("_id"))
+    private = lone.filter("_documents = 1").groupBy("_id").agg(F.count("*").alias("_private"))
+    own = F.when(F.col("_texts") == 1, F.coalesce("_private", F.lit(0))).otherwise(F.lit(0))
+    return rows.join(private, "_id", "left").select("_id", (F.col("_size") - own).alias("_shared"))
+
+
+def _outside(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of each member outside the main component of its key with the members of other components.
 
-    The estimate is part of the join, so pairs that cannot be linked are not emitted.
+    Members that their private shingles keep from any link are left out. The
+    bounds and the estimate are part of the join, so pairs that cannot be linked
+    are not emitted.
     """
+    bounded = reps.join(_shared_sizes(sets), "_id").filter(F.col("_shared") * 100 >= percent * F.col("_n"))
+    bounded = common.stored(bounded)
+    rows = rows.join(bounded.select("_id"), "_id", "left_semi")
     sizes = rows.groupBy("_key", "_c").agg(F.count("*").alias("_members"))
     main = sizes.groupBy("_key").agg(F.max_by("_c", F.struct("_members", "_c")).alias("_main"))
-    full = rows.join(reps.select("_id", "_n", "_registers"), "_id")
+    full = rows.join(bounded, "_id")
     side = lambda rows, n: _with_own(rows).select(
-        "_key", F.col("_id").alias(n), F.col("_c").alias(f"c{n}"), *_renamed(n)
+        "_key", F.col("_id").alias(n), F.col("_c").alias(f"c{n}"), F.col("_shared").alias(f"s{n}"), *_renamed(n)
     )
     left, right = side(full.join(main, "_key").filter("_c != _main"), "a"), side(full, "b")
     condition = (
         (left["_key"] == right["_key"])
         & (F.col("ca") != F.col("cb"))
-        & (F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
+        & (F.least("sa", "sb") * 100 >= percent * (F.col("na") + F.col("nb") - F.least("sa", "sb")))
         & _may_link(("oa", "ob"), ("pa", "pb"), percent)
     )
     return _ordered(left.join(right, condition).select("a", "b"))
@@ -284,13 +317,14 @@ def near_groups(
     for star in range(stars + 1):
         open_rows = common.stored(_labelled(keys, edges))
         if star == stars:
-            pairs = _outside(open_rows, reps, percent)
-        elif score is None:
-            pairs = _to_hub(open_rows, F.col("_id"))
+            sets = _sets_of(open_rows.select("_id"), docs, id_col, text_col, shingle)
+            candidates = common.stored(_outside(open_rows, reps, sets, percent))
         else:
-            scored = open_rows.join(score, "_id", "left")
-            pairs = _to_hub(scored, F.struct(-F.coalesce("_score", F.lit(0.0)), F.col("_id")))
-        links = _verified(pairs, reps, docs, id_col, text_col, shingle, percent)
+            scored = open_rows if score is None else open_rows.join(score, "_id", "left")
+            best = F.lit(0.0) if score is None else -F.coalesce("_score", F.lit(0.0))
+            candidates = _likely(_to_hub(scored, F.struct(best, F.col("_id"))), reps, percent)
+            sets = _sets_of(_members(candidates), docs, id_col, text_col, shingle)
+        links = _verified(candidates, sets, percent)
         edges = edges.union(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         if star < stars and not links.isEmpty():
             edges = components(edges)

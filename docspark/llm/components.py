@@ -25,22 +25,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """`u` and the least node `v` reachable from it, for every node that is not the least itself.
 
-    `edges` has nodes `u` > `v`, without nulls. Rounds of two steps bring every
-    edge to the least node of its component; each round is stored, and the number
-    of rounds grows with the logarithm of the longest path. The least neighbour
+    `edges` has nodes `u` > `v`, without nulls, and may repeat them. Rounds of two
+    steps bring every edge to the least node of its component; each round is
+    stored, and their number grows with the logarithm of the longest path. The least neighbour
     is a partial minimum; a node of many neighbours is split by the adaptive skew
     join.
     """
-    now = common.stored(edges.select("u", "v").distinct())
-    state = _state(now)
+    now = edges.select("u", "v")
     while True:
-        now = common.stored(_small_star(_large_star(now).distinct()).distinct())
-        state, before = _state(now), state
-        if state == before:
+        now = common.stored(_small_star(_large_star(now)).distinct())
+        if _settled(now):
             return now
 
 
-def _state(edges: DataFrame) -> tuple:
-    # A sum of hashes as decimal cannot overflow.
-    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), digest).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none to a smaller one."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.filter("out > 1 OR (out = 1 AND into = 1)").isEmpty()

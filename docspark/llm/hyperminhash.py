@@ -11,8 +11,8 @@ are confirmed on their full sets.
 
 Documents of equal sets are one class, and its least id stands for it. Within a
 band key no pairs are enumerated as long as a star may do: all members are
-compared with one hub, then with the member that came closest to a hub (of a
-group of edited copies, the one with fewest edits), and components are merged.
+compared with one hub, the one that shares most keys with others (of a group of
+edited copies, that with fewest edits), and components are made of these links.
 Only members left outside the main component of their key are then compared with
 all other members, so that no link between components is missed. Before that, the
 shingles that no other document left has are counted: they can be in no overlap,
@@ -48,7 +48,6 @@ MANTISSA_BITS = 9
 PERCENT = 80
 # Standard deviations that an estimate may lie below the threshold.
 MARGIN = 5.0
-STARS = 2
 # Ids, of 8 bytes each, that are broadcast at most.
 MAX_IDS = 2_000_000
 
@@ -232,11 +231,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _to_hub(rows: DataFrame, rank: Column) -> DataFrame:
-    """Pairs of the first member of each key by `rank` with the others that are not of its component."""
-    hubs = rows.groupBy("_key").agg(F.min_by(F.struct("_id", "_c"), rank).alias("_hub"))
-    joined = rows.join(hubs, "_key").filter(F.col("_c") != F.col("_hub._c"))
-    return _ordered(joined.select(F.col("_id").alias("a"), F.col("_hub._id").alias("b")))
+def _shared_keys(reps: DataFrame) -> DataFrame:
+    """`_key`, `_id` and `_degree` of keys that two documents or more have.
+
+    The degree of a document is the number of members its keys have. Of a group
+    of edited copies, the one with fewest edits shares most keys.
+    """
+    every = _band_keys(reps)
+    shared = every.groupBy("_key").agg(F.count("*").alias("_members")).filter("_members > 1")
+    rows = common.stored(every.join(shared, "_key"))
+    degrees = rows.groupBy("_id").agg(F.sum("_members").alias("_degree"))
+    return rows.select("_key", "_id").join(degrees, "_id")
+
+
+def _to_hub(keys: DataFrame) -> DataFrame:
+    """Pairs of the member of highest degree of each key with the others, the larger id as `a`."""
+    hubs = keys.groupBy("_key").agg(F.max_by("_id", F.struct("_degree", "_id")).alias("_hub"))
+    joined = keys.join(hubs, "_key").filter("_id != _hub")
+    return _ordered(joined.select(F.col("_id").alias("a"), F.col("_hub").alias("b")))
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
@@ -284,7 +296,6 @@ def near_groups(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = PERCENT,
-    stars: int = STARS,
 ) -> DataFrame:
     """One row per row of `docs`: shingles, component and whether it stays.
 
@@ -306,30 +317,21 @@ def near_groups(
         .dropDuplicates(["_digest"])
         .select("_id", "_n", "_registers")
     )
-    every = _band_keys(reps)
-    shared = every.groupBy("_key").agg(F.count("*").alias("_members")).filter("_members > 1").select("_key")
-    keys = common.stored(every.join(shared, "_key"))
+    keys = common.stored(_shared_keys(reps))
     same_set = linkable.join(classes, "_digest").filter("_id > _rep").select(
         F.col("_id").alias("u"), F.col("_rep").alias("v")
     )
-    edges = keys.select(F.col("_id").alias("u"), F.col("_id").alias("v")).limit(0)
-    score = None
-    for star in range(stars + 1):
-        open_rows = common.stored(_labelled(keys, edges))
-        if star == stars:
-            sets = _sets_of(open_rows.select("_id"), docs, id_col, text_col, shingle)
-            candidates = common.stored(_outside(open_rows, reps, sets, percent))
-        else:
-            scored = open_rows if score is None else open_rows.join(score, "_id", "left")
-            best = F.lit(0.0) if score is None else -F.coalesce("_score", F.lit(0.0))
-            candidates = _likely(_to_hub(scored, F.struct(best, F.col("_id"))), reps, percent)
-            sets = _sets_of(_members(candidates), docs, id_col, text_col, shingle)
-        links = _verified(candidates, sets, percent)
-        edges = edges.union(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if star < stars and not links.isEmpty():
-            edges = components(edges)
-            score = links.groupBy(F.col("a").alias("_id")).agg(F.max("similarity").alias("_score"))
-    everything = components(edges.union(same_set))
+    # Every member with the most central one of its key.
+    candidates = _likely(_to_hub(keys), reps, percent)
+    links = _verified(candidates, _sets_of(_members(candidates), docs, id_col, text_col, shingle), percent)
+    edges = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # Members that are still in other components of their key, with all others.
+    open_rows = common.stored(_labelled(keys.select("_key", "_id"), edges))
+    sets = _sets_of(open_rows.select("_id"), docs, id_col, text_col, shingle)
+    candidates = common.stored(_outside(open_rows, reps, sets, percent))
+    links = _verified(candidates, sets, percent)
+    found = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    everything = components(edges.union(found).union(same_set))
     named = rows.join(everything.select(F.col("u").alias("_id"), F.col("v").alias("_c")), "_id", "left")
     component = F.coalesce("_c", "_id")
     return named.select(

@@ -18,7 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def sentence(rng, n=12):
-    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
 
 
 def near_copies(rng, base, n, edits):

@@ -93,23 +93,22 @@ def write_processed(rows: DataFrame, store: Store, batch_id: int) -> None:
     split.write.mode("overwrite").partitionBy(USABLE).parquet(location)
 
 
-def _processed_rows(spark: SparkSession, store: Store) -> DataFrame:
-    return spark.read.schema(_PROCESSED_ROWS).parquet(store.processed)
+def _processed_rows(spark: SparkSession, store: Store, batch_id: int | None) -> DataFrame:
+    """All processed rows, or those of one batch: only its folder is listed."""
+    rows = spark.read.schema(_PROCESSED_ROWS).option("basePath", store.processed)
+    one = "" if batch_id is None else f"/{BATCH}={batch_id}"
+    return rows.parquet(store.processed + one)
 
 
-def batch_of(table: DataFrame, batch_id: int) -> DataFrame:
-    """One batch of a table; the filter prunes all other partitions."""
-    return table.filter(F.col(BATCH) == batch_id)
+def processed_versions(spark: SparkSession, store: Store, batch_id: int | None = None) -> DataFrame:
+    """Every processed row written so far, or in one batch."""
+    rows = _processed_rows(spark, store, batch_id)
+    return rows.filter(USABLE).drop(USABLE, "reason", "value")
 
 
-def processed_versions(spark: SparkSession, store: Store) -> DataFrame:
-    """Every processed row written so far."""
-    return _processed_rows(spark, store).filter(USABLE).drop(USABLE, "reason", "value")
-
-
-def unprocessed(spark: SparkSession, store: Store) -> DataFrame:
+def unprocessed(spark: SparkSession, store: Store, batch_id: int | None = None) -> DataFrame:
     """Upload events that could not be processed."""
-    return _processed_rows(spark, store).filter(~F.col(USABLE))
+    return _processed_rows(spark, store, batch_id).filter(~F.col(USABLE))
 
 
 def processed(spark: SparkSession, store: Store) -> DataFrame:

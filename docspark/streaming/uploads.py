@@ -49,7 +49,7 @@ class UploadJob:
         finally:
             decoded.unpersist()
 
-        done = store.batch_of(store.processed_versions(spark, self.store), batch_id)
+        done = store.processed_versions(spark, self.store, batch_id)
         location = F.lit(f"{self.store.processed}/{store.BATCH}={batch_id}#")
         uri = F.concat(location, F.col("doc_id"))
         uploads = done.withColumn("doc_type", F.col("upload_type"))
@@ -79,7 +79,7 @@ class UploadJob:
         store.write_processed(process(events, docs, self.backend), self.store, batch_id)
 
         columns = ["value", "seq", "doc_id", "file_path", "reason"]
-        unread = store.batch_of(store.unprocessed(spark, self.store), batch_id).select(columns)
+        unread = store.unprocessed(spark, self.store, batch_id).select(columns)
         letters = messages.dead_letters(decoded).select(columns).unionByName(unread)
         store.write_batch(letters, self.store.dead_letters, batch_id)
 

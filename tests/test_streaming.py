@@ -218,3 +218,17 @@ def test_feedback_stream(spark, tmp_path):
     assert [(r.value, r.reason) for r in letters] == [("[]", "invalid_json_object")]
     sent = {r.key: json.loads(r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert sent["a"] == {**dict.fromkeys(schemas.FEEDBACK.names), **rows[0], "event_id": log["a"].event_id}
+
+
+def test_a_batch_reads_only_its_own_partition(spark, tmp_path):
+    where = store.Store(str(tmp_path / "store"))
+    plain = spark.range(3).select(F.col("id").cast("string").alias("doc_id"))
+    rows = plain.withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in store._PROCESSED_ROWS if f.name not in ("doc_id", "batch_id", "usable")}
+    )
+    for batch_id in range(12):
+        store.write_processed(rows, where, batch_id)
+    one = store.processed_versions(spark, where, 7)
+    assert one.count() == 3 and {r.batch_id for r in one.collect()} == {7}
+    assert all("/batch_id=7/" in f for f in one.inputFiles())
+    assert store.processed_versions(spark, where).count() == 36

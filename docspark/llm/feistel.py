@@ -191,11 +191,12 @@ def write_shards(rows: DataFrame, total: int, path: str, rows_per_shard: int = R
     job commits, so lost executors and repeated tasks leave no part of a shard.
     """
     shards = max(1, -(-total // rows_per_shard))
-    placed = rows.select(
-        F.floor(F.col("_slot") / rows_per_shard).cast("int").alias("shard"), "_slot", F.col("_record").cast("string").alias("value")
-    )
-    ranged = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "_slot").drop("_slot")
-    ranged.write.partitionBy("shard").option("lineSep", END).text(path)
+    shard = F.floor(F.col("_slot") / rows_per_shard).cast("int")
+    placed = rows.select("_slot", F.col("_record").cast("string").alias("value"))
+    # Slots are even, so the ranges are known and need no sample of the rows.
+    dealt = placed.repartition(shards, shard).sortWithinPartitions("_slot")
+    whole = dealt.select(shard.alias("shard"), "value")
+    whole.write.partitionBy("shard").option("lineSep", END).text(path)
 
 
 def read_shards(
@@ -233,17 +234,31 @@ def materialised(
     """Writes the byte sequences of all texts in training order and returns their index.
 
     One row per sequence: `slot`, `shard`, `offset`, id, `part` within the text,
-    `n_bytes` that are no filling, and the checksum of the record as read back. A
+    `n_bytes` that are no filling, and the checksum of the record. All records are
+    read back and compared by place and checksum; a difference is an error. A
     null or empty text has no sequence, a repeated row has sequences of its own, a
     null id is an id like any other. Other columns are not read and may have any
     name. An empty table gives no rows and no files.
     """
     rows, total = ordered(byte_sequences(docs, id_col, text_col, length), length, FILL, key)
-    index = rows.select(F.col("_slot").alias("slot"), F.col("_id").alias(id_col), F.col("_part").alias("part"), F.col("_size").alias("n_bytes"))
-    if total == 0:
-        none = index.withColumns({"shard": F.lit(0), "offset": F.lit(0).cast("long"), "record_crc32": F.lit(0).cast("long")})
-        return none.select("slot", "shard", "offset", id_col, "part", "n_bytes", "record_crc32")
-    write_shards(rows, total, path, rows_per_shard)
-    back = read_shards(docs.sparkSession, path, length, 0, rows_per_shard)
-    back = back.withColumn("record_crc32", F.crc32("record")).drop("record")
-    return index.join(back, "slot").select("slot", "shard", "offset", id_col, "part", "n_bytes", "record_crc32")
+    index = rows.select(
+        F.col("_slot").alias("slot"),
+        F.floor(F.col("_slot") / rows_per_shard).cast("int").alias("shard"),
+        (F.col("_slot") % rows_per_shard * (length + len(END))).alias("offset"),
+        F.col("_id").alias(id_col),
+        F.col("_part").alias("part"),
+        F.col("_size").alias("n_bytes"),
+        F.crc32("_record").alias("record_crc32"),
+    )
+    if total:
+        write_shards(rows, total, path, rows_per_shard)
+        back = read_shards(docs.sparkSession, path, length, 0, rows_per_shard)
+        if _digest(back.withColumn("record_crc32", F.crc32("record"))) != _digest(index):
+            raise RuntimeError(f"the shards under {path} are not what was written")
+    return index
+
+
+def _digest(records: DataFrame) -> tuple:
+    """Number and sum of hashes of place and checksum of all records, in whatever order."""
+    place = F.xxhash64("slot", "shard", "offset", "record_crc32")
+    return tuple(records.agg(F.count("*"), F.sum(place.cast("decimal(38,0)"))).first())

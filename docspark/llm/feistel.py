@@ -194,9 +194,9 @@ def write_shards(rows: DataFrame, total: int, path: str, rows_per_shard: int = R
     shard = F.floor(F.col("_slot") / rows_per_shard).cast("int")
     placed = rows.select("_slot", F.col("_record").cast("string").alias("value"))
     # Slots are even, so the ranges are known and need no sample of the rows.
-    dealt = placed.repartition(shards, shard).sortWithinPartitions("_slot")
-    whole = dealt.select(shard.alias("shard"), "value")
-    whole.write.partitionBy("shard").option("lineSep", END).text(path)
+    dealt = placed.repartition(shards, shard).withColumn("shard", shard)
+    ranged = dealt.sortWithinPartitions("shard", "_slot").drop("_slot")
+    ranged.write.partitionBy("shard").option("lineSep", END).text(path)
 
 
 def read_shards(

@@ -208,6 +208,8 @@ def line_frequency(
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns, less the removed lines."""
-    judged = line_frequency(docs, id_col, text_col, **options).filter("kept")
+    # Stored, as a filter that is pushed below the counts would compute them within its lambdas.
+    verdicts = line_frequency(docs, id_col, text_col, **options).select("kept", "clean_text", "row")
+    judged = common.stored(verdicts).filter("kept")
     value = lambda c: F.col("clean_text") if c == text_col else F.col("row")[c]
     return judged.select(*[value(c).alias(c) for c in docs.columns])

@@ -2,12 +2,14 @@
 
 Markup is stripped, with all elements that are no running text, and every block
 element starts a line. The text lengths of a few following lines are summed over
-a sliding window. Where the sums surge above a threshold the main text starts,
-where they dive to nothing it ends, and the lines between are kept.
-
-Link text does not count for the length of a line. If a page marks its article
-or main part, only lines of that part are looked at, and any text there is a
-surge. Each page is handled alone, in Arrow batches.
+a sliding window. Where the sums first surge above a threshold the main text
+starts, where they dive to nothing after the last surge it ends, and all lines
+between are kept, lists of links among them.
+
+Link text does not count for the length of a line, but that of a heading or
+paragraph that is a link as a whole is no dive, unless `WINDOW` of its kind stand
+together like a menu. If a page marks its article or main part, all lines of that
+part are kept. Each page is handled alone, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -58,6 +60,7 @@ _NAMES = frozenset(
 )
 _NEGATED = frozenset("no not has with without is".split())
 _HEADERS = frozenset("header masthead".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -91,12 +94,13 @@ def _is_aside(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 
 
 class Lines:
-    """Lines of a page: text, length without links, whether inside the article."""
+    """Lines of a page: text, length without links, whether inside the article, kind of block."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[tuple[str, int, bool, str]] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.kind = ""
 
     def add(self, text: str, in_link: bool) -> None:
         self.parts.append(text)
@@ -108,11 +112,11 @@ class Lines:
             # Runs are decoded together: a reference may stand between two tags only as a whole.
             text = _SPACE.sub(" ", "".join(html.unescape(p) for p in self.parts)).strip()
             if text:
-                self.rows.append((text, max(0, len(text) - self.linked), in_article))
+                self.rows.append((text, max(0, len(text) - self.linked), in_article, self.kind))
             self.parts, self.linked = [], 0
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
+def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
     """The lines that are left when markup and what is no running text are stripped."""
     lines, open_, at = Lines(), [], 0
     aside: int | None = None  # depth of the outermost element that is left out
@@ -131,6 +135,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name not in _INLINE and aside is None:
             lines.end(articles > 0)
+            lines.kind = "" if tag["end"] else "heading" if name in _HEADINGS else name
         elif name in ("br", "wbr", "img") and aside is None and name == "br":
             lines.add(" ", False)
         if tag["end"]:
@@ -170,16 +175,34 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines.rows
 
 
-def between_surge_and_dive(lengths: list[int], least: float) -> tuple[int, int]:
-    """First line and the one after the last of the region around the largest window."""
+def lengths_with_links(rows: list[tuple[str, int, bool, str]]) -> list[int]:
+    """Lengths of lines, with the links of headings and paragraphs that are no menu."""
+    lengths, at = [size for _, size, _, _ in rows], 0
+    while at < len(rows):
+        kind, end = rows[at][3], at + 1
+        if not rows[at][1] and kind in ("heading", "p"):
+            while end < len(rows) and not rows[end][1] and rows[end][3] == kind:
+                end += 1
+            if end - at < WINDOW:
+                lengths[at:end] = [len(row[0]) for row in rows[at:end]]
+        at = end
+    return lengths
+
+
+def between_surge_and_dive(lengths: list[int], least: float, plain: list[int] | None = None) -> tuple[int, int]:
+    """First line and the one after the last of the region around all surges.
+
+    Surges are those of `plain`, the lengths without any links, if given.
+    """
     if not lengths or not any(lengths):
         return 0, 0
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    peak = max(range(len(sums)), key=sums.__getitem__)
-    threshold = min(max(least, SURGE_SHARE * sums[peak]), sums[peak]) if least > 1 else 1
-    first, last = peak, peak
-    while first > 0 and sums[first - 1] >= threshold:
-        first -= 1
+    surges = [sum(plain[i : i + WINDOW]) for i in range(len(plain))] if plain and any(plain) else sums
+    threshold = min(max(least, SURGE_SHARE * max(surges)), max(surges))
+    found = [i for i, size in enumerate(surges) if size >= threshold]
+    first, last = found[0], found[-1]
+    while plain and first > 0 and lengths[first - 1] and not plain[first - 1]:
+        first -= 1  # a title that is a link
     while last + 1 < len(sums) and sums[last + 1]:
         last += 1
     last = min(last + WINDOW, len(lengths)) - 1
@@ -193,10 +216,11 @@ def between_surge_and_dive(lengths: list[int], least: float) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one a line; empty if there is none."""
     lines = lines_of(page or "")
-    marked = [line for line in lines if line[2]]
-    used = marked or lines
-    first, after = between_surge_and_dive([size for _, size, _ in used], 1 if marked else SURGE_CHARS)
-    return "\n".join(text for text, _, _ in used[first:after])
+    used = [line for line in lines if line[2]]
+    if not used:
+        first, after = between_surge_and_dive(lengths_with_links(lines), SURGE_CHARS, [line[1] for line in lines])
+        used = lines[first:after]
+    return "\n".join(line[0] for line in used)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -62,6 +62,18 @@ def test_surge_and_dive():
     assert line_blocks.between_surge_and_dive([3], 40) == (0, 1)
 
 
+def test_all_blocks_of_an_article_stay():
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(3))
+    listed = "\n".join(f"Link number {i}" for i in range(3))
+    body = f"<h1><a href=/t>Title</a></h1><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p><p><a href=/s>Source</a></p>"
+    text = f"Title\n{LONG}\n{listed}\n{LONG}\nSource"
+    assert line_blocks.main_text(f"<article>{body}</article>") == text
+    assert line_blocks.main_text(f"<article>{body}<ul>{links}</ul></article>") == f"{text}\n{listed}"
+    menu = f"<div><ul>{links}{links}</ul></div>"
+    assert line_blocks.main_text(f"<body>{menu}<div>{body}</div>{menu}</body>") == text
+    assert line_blocks.between_surge_and_dive([500, 500, 0, 0, 0, 300, 300], 40) == (0, 7)
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")

@@ -2,9 +2,9 @@
 
 Markup is stripped, with all elements that are no running text, and every block
 element starts a line. The text lengths of a few following lines are summed over
-a sliding window. Where the sums first surge above a threshold the main text
-starts, where they dive to nothing after the last surge it ends, and all lines
-between are kept, lists of links among them.
+a sliding window. Sums above a threshold are surges. The main text is all that
+lies between the first and the last surge, lists of links among it, and reaches
+out on both sides to where the sums dive to nothing.
 
 Link text does not count for the length of a line, but that of a heading or
 paragraph that is a link as a whole is no dive, unless `WINDOW` of its kind stand
@@ -26,8 +26,7 @@ from pyspark.sql import types as T
 from docspark.llm import common
 
 WINDOW = 3
-# Without a marked article: a surge is this share of the largest window, and this many characters.
-SURGE_SHARE = 0.15
+# Without a marked article, a window with this many characters without links is a surge.
 SURGE_CHARS = 40
 
 _TAG = re.compile(
@@ -198,11 +197,11 @@ def between_surge_and_dive(lengths: list[int], least: float, plain: list[int] |
         return 0, 0
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     surges = [sum(plain[i : i + WINDOW]) for i in range(len(plain))] if plain and any(plain) else sums
-    threshold = min(max(least, SURGE_SHARE * max(surges)), max(surges))
+    threshold = min(least, max(surges))
     found = [i for i, size in enumerate(surges) if size >= threshold]
     first, last = found[0], found[-1]
-    while plain and first > 0 and lengths[first - 1] and not plain[first - 1]:
-        first -= 1  # a title that is a link
+    while first > 0 and sums[first - 1]:
+        first -= 1
     while last + 1 < len(sums) and sums[last + 1]:
         last += 1
     last = min(last + WINDOW, len(lengths)) - 1

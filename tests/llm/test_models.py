@@ -74,6 +74,16 @@ def test_all_blocks_of_an_article_stay():
     assert line_blocks.between_surge_and_dive([500, 500, 0, 0, 0, 300, 300], 40) == (0, 7)
 
 
+def test_a_long_paragraph_hides_no_other():
+    assert line_blocks.between_surge_and_dive([200, 200, 200, 200, 200, 10000], 40) == (0, 6)
+    assert line_blocks.between_surge_and_dive([10000, 200, 200, 200, 200, 200], 40) == (0, 6)
+    paragraphs = [LONG] * 5 + [" ".join([LONG] * 20)] + [LONG] * 5
+    page = "".join(f"<p>{p}</p>" for p in ["Short.", *paragraphs, "End."])
+    menu = "<div>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(5)) + "</div>"
+    expected = "\n".join(["Short.", *paragraphs, "End."])
+    assert line_blocks.main_text(f"<body>{menu}<div>{page}</div>{menu}</body>") == expected
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")

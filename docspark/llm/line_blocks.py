@@ -45,11 +45,13 @@ _INLINE = frozenset(
 )
 # Elements that hold no running text of the article.
 _ASIDE = frozenset(
-    "head nav footer aside form button select option datalist fieldset dialog menu noscript template svg canvas "
+    "head nav footer aside button select option optgroup datalist dialog menu noscript template svg canvas "
     "object applet audio video map".split()
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-# Words in the class or id of an element that is not part of the article.
+# Controls are left out within forms only; other text of a form counts, as a form may hold the whole page.
+_CONTROLS = frozenset("label legend output meter progress".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+# Classes and ids, alone or put together, of an element that is not part of the article.
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner "
     "comment comments disqus replies respond sidebar nav navbar navigation menu topbar breadcrumb breadcrumbs footer "
@@ -57,7 +59,10 @@ _NAMES = frozenset(
     "social related recommended recommendations pagination pager login search toolbar masthead copyright paywall "
     "skip widget".split()
 )
-_NEGATED = frozenset("no not has with without is".split())
+# What may stand before or after such a name. Other compounds say something else: category-promotion, content-sidebar-wrap.
+_PLACES = frozenset("site page main primary secondary left right top bottom".split())
+_PARTS = frozenset("area bar box list links buttons posts".split())
+_REPLIES = frozenset("comment comments disqus replies respond".split())
 _HEADERS = frozenset("header masthead".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -67,18 +72,24 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _names(attributes: dict[str, str]) -> set[str]:
+    """Words of the classes and ids that are made of names alone."""
     found: set[str] = set()
     for name in (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split():
-        parts = re.split(r"[-_:]+", name)
-        if parts[0] not in _NEGATED:
+        parts = [part for part in re.split(r"[-_:]+", name) if part]
+        if len(parts) > 1 and parts[0] in _PLACES:
+            parts = parts[1:]
+        if len(parts) > 1 and parts[-1] in _PARTS | _PLACES:
+            parts = parts[:-1]
+        if all(part in _NAMES or part in _HEADERS for part in parts):
             found.update(parts)
     return found
 
 
-def _is_aside(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_aside(tag: str, attributes: dict[str, str], in_article: bool, in_form: bool) -> bool:
+    """Whether an element is left out by what it is, not by its name."""
     if tag in ("html", "body", "main"):
         return False
-    if tag in _ASIDE or (tag == "header" and not in_article):
+    if tag in _ASIDE or (tag == "header" and not in_article) or (in_form and tag in _CONTROLS):
         return True
     if not attributes:
         return False
@@ -86,10 +97,7 @@ def _is_aside(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
-    names = _names(attributes)
-    return bool(names & _NAMES) or (not in_article and bool(names & _HEADERS) and "article" not in names)
+    return attributes.get("role", "").lower() in _ROLES
 
 
 class Lines:
@@ -116,38 +124,70 @@ class Lines:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
-    """The lines that are left when markup and what is no running text are stripped."""
+    """The lines that are left when markup and what is no running text are stripped.
+
+    A name does not decide for an element that holds most of the page's text
+    without links. Comments may hold more than the article they belong to.
+    """
+    rows, named, total = _parsed(page, frozenset())
+    marked = any(in_article for _, _, in_article, _ in rows)
+    spared = {at for at, (held, replies) in named.items() if 2 * held > total and not (replies and marked)}
+    return _parsed(page, spared)[0] if spared else rows
+
+
+def _parsed(page: str, spared: set[int] | frozenset[int]) -> tuple[list[tuple], dict[int, tuple[int, bool]], int]:
+    """Lines; characters without links of each named element by its position, and whether it holds replies; all such characters.
+
+    Elements at the positions `spared` are not left out for their names.
+    """
     lines, open_, at = Lines(), [], 0
-    aside: int | None = None  # depth of the outermost element that is left out
-    articles = links = 0
-    position = 0
+    # Depths of the outermost elements that are left out, for whatever reason and not by name.
+    aside: int | None = None
+    hard: int | None = None
+    counted: list[str] = []  # for each open element its name if it counts below, else nothing
+    inside = {"article": 0, "main": 0, "a": 0, "form": 0}
+    named: dict[int, tuple[int, bool]] = {}
+    begun: dict[int, tuple[int, bool, int]] = {}  # by depth: position, replies, characters before
+    total = position = 0
+
+    def close() -> str:
+        nonlocal aside, hard
+        name, counts = open_.pop(), counted.pop()
+        depth = len(open_)
+        if counts:
+            inside[counts] -= 1
+        if depth in begun:
+            start, replies, before = begun.pop(depth)
+            named[start] = total - before, replies
+        if aside is not None and depth <= aside:
+            aside = None
+        if hard is not None and depth <= hard:
+            hard = None
+        return name
+
     while True:
         tag = _TAG.search(page, position)
         text = page[at : tag.start() if tag else len(page)]
         if text and aside is None:
-            lines.add(text, links > 0)
+            lines.add(text, inside["a"] > 0)
+        if text and hard is None and not inside["a"]:
+            total += len(_SPACE.sub(" ", text).strip())
         if tag is None:
             break
         position = at = tag.end()
         name = (tag["name"] or "").lower()
         if not name:
             continue
+        in_article = inside["article"] + inside["main"] > 0
         if name not in _INLINE and aside is None:
-            lines.end(articles > 0)
+            lines.end(in_article)
             lines.kind = "" if tag["end"] else "heading" if name in _HEADINGS else name
-        elif name in ("br", "wbr", "img") and aside is None and name == "br":
+        elif name == "br" and aside is None:
             lines.add(" ", False)
         if tag["end"]:
             if name in open_:
-                while True:
-                    gone = open_.pop()
-                    if aside is not None and len(open_) <= aside:
-                        aside = None
-                    elif aside is None:
-                        articles -= gone in ("article", "main")
-                        links -= gone == "a"
-                    if gone == name:
-                        break
+                while close() != name:
+                    pass
             continue
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I | re.S).search(page, position)
@@ -156,22 +196,29 @@ def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
         if name in _VOID or tag["attrs"].rstrip().endswith("/") and name not in ("p", "div"):
             continue
         if name in ("p", "li", "a") and open_ and open_[-1] == name and aside != len(open_) - 1:
-            open_.pop()  # closed by the next of its kind
-            links -= name == "a" and aside is None
-        if aside is not None:
-            if name == "main":
-                aside = None
-            else:
-                open_.append(name)
-                continue
-        if _is_aside(name, _attributes(tag["attrs"]), articles > 0):
-            aside = len(open_)
-        else:
-            articles += name in ("article", "main")
-            links += name == "a"
+            close()  # closed by the next of its kind
+        if name == "main":
+            aside = hard = None
+        if hard is None:
+            attributes = _attributes(tag["attrs"])
+            if _is_aside(name, attributes, in_article, inside["form"] > 0):
+                hard = len(open_)
+                aside = hard if aside is None else aside
+            elif name not in ("html", "body", "main") and not (name == "article" and not in_article and aside is None):
+                names = _names(attributes)
+                if names & _NAMES or (names & _HEADERS and not in_article):
+                    begun[len(open_)] = tag.start(), bool(names & _REPLIES), total
+                    if aside is None and tag.start() not in spared:
+                        aside = len(open_)
+        counts = name in inside and (hard is None if name in ("a", "form") else aside is None)
         open_.append(name)
-    lines.end(articles > 0)
-    return lines.rows
+        counted.append(name if counts else "")
+        if counts:
+            inside[name] += 1
+    lines.end(inside["article"] + inside["main"] > 0)
+    while open_:
+        close()
+    return lines.rows, named, total
 
 
 def lengths_with_links(rows: list[tuple[str, int, bool, str]]) -> list[int]:

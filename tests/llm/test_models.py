@@ -84,6 +84,34 @@ def test_a_long_paragraph_hides_no_other():
     assert line_blocks.main_text(f"<body>{menu}<div>{page}</div>{menu}</body>") == expected
 
 
+KEPT = [
+    '<article class="post category-promotion tag-social">{}</article>', '<article class="notice">{}</article>',
+    '<div class="content-sidebar-wrap">{}</div>', '<div class="elementor-widget elementor-widget-text">{}</div>',
+    '<div class="widget">{}</div>', '<div class="widget"><div class="social">{}</div></div>', "<form action=/>{}</form>",
+    "<form><article>{}</article></form>", '<div class="share"><article>{}</article></div>', '<div role="form">{}</div>',
+    '<main><div class="search">{}</div></main>',
+]
+
+
+@pytest.mark.parametrize("frame", KEPT)
+def test_names_and_forms_take_no_article(frame):
+    related = f'<section id="related-work"><p>{LONG}</p></section>'
+    page = f"<body><nav><p>{LONG}</p></nav>{frame.format(BODY + related)}<div class='sidebar'>{LONG}</div></body>"
+    assert line_blocks.main_text(page) == f"{TEXT}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["site-footer", "comments-area", "main-navigation", "share-buttons", "related-posts", "site-header"])
+def test_names_with_places_and_parts(name):
+    page = f"<body><div class='{name}'>{LONG}</div><div>{BODY}</div></body>"
+    assert line_blocks.main_text(page) == TEXT
+
+
+def test_comments_may_be_longer_than_the_article():
+    comments = f'<section class="comments">{f"<article class=comment><p>{LONG}</p></article>" * 20}</section>'
+    assert line_blocks.main_text(f"<article>{BODY}{comments}</article>") == TEXT
+    assert line_blocks.main_text(f"<article>{BODY}</article>{comments}") == TEXT
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")

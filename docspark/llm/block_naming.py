@@ -130,8 +130,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("u"), F.col("_id").alias("i"), F.col("_tag").alias("t"))
     groups = rows.groupBy("_level", "_name").agg(F.min(order).alias("_best"), F.sum("_rows").alias("group_size"))
     joined = rows.join(groups, ["_level", "_name"])
-    copies = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_copy"))
-    first = F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_tag") == F.col("_best.t")) & (F.col("_copy") == 1)
+    many = not rows.filter(F.col("_rows") > BLOCK).isEmpty()
+    copies = common.copied(joined, "_rows", F.lit(BLOCK).cast("long"), ["_id", "_tag"], dealt=many)
+    first = F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_tag") == F.col("_best.t")) & (F.col("_copy") == 0)
     return copies.select(
         F.col("_id").alias(id_col),
         F.col("_best.i").alias("keep_id"),

@@ -87,6 +87,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def copied(rows: DataFrame, copies: str, step: Column, keys: list[str], dealt: bool) -> DataFrame:
+    """Each row once for each of its `copies`, numbered from 0 as `_copy`.
+
+    Numbers are made in blocks of `step`. If `dealt`, the blocks of a row go to
+    many tasks, to as many as shuffles have: they are small before they are
+    exploded, so their bytes must not merge them.
+    """
+    last = F.col(copies) - 1
+    blocks = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last, step)))
+    if dealt:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(tasks, *keys, "_from")
+    until = F.least(F.col("_from") + step - 1, last)
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.col("_from"), until))).drop("_from")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what `stored` has written in this application.
 

@@ -37,6 +37,8 @@ ROWS_PER_SHARD = 32_768
 # Every record ends with this byte; readers go by the stride and never look for it.
 END = "\n"
 MAX_ROWS = 2_000_000
+# Copies of a repeated row are numbered in blocks of so many sequences, or of one copy.
+BLOCK = 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -124,8 +126,8 @@ def id_sequences(
     ).filter("_n > 0")
 
 
-def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """First number of each `_key` and how many numbers one of its rows has; the count of all numbers.
+def numbered(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """First number of each `_key` and its copies; the count of all numbers; the most that one repeated row has.
 
     Numbers follow hash ranges, hashes and keys. Rows of one key follow each other.
     """
@@ -133,7 +135,10 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     hashed = keys.withColumn("_hash", F.xxhash64("_key")).withColumn("_range", F.pmod("_hash", F.lit(RANGES)))
     kept = common.stored(hashed)
     # One row per range: at most RANGES.
-    sizes = kept.groupBy("_range").agg(F.sum(F.col("_n") * F.col("_copies")).alias("_size")).collect()
+    size = F.col("_n") * F.col("_copies")
+    repeated = F.max(F.when(F.col("_copies") > 1, size)).alias("_most")
+    sizes = kept.groupBy("_range").agg(F.sum(size).alias("_size"), repeated).collect()
+    most = max((row["_most"] or 0 for row in sizes), default=0)
     before, total = {}, 0
     for row in sorted(sizes, key=lambda r: r["_range"]):
         before[row["_range"]], total = total, total + row["_size"]
@@ -141,9 +146,9 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
         rows.sparkSession.createDataFrame(sorted(before.items()), "_range long, _offset long")
     )
     within = Window.partitionBy("_range").orderBy("_hash", "_key").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(F.col("_n") * F.col("_copies")).over(within), F.lit(0))
+    earlier = F.coalesce(F.sum(size).over(within), F.lit(0))
     placed = kept.withColumn("_earlier", earlier).join(offsets, "_range")
-    return placed.select("_key", (F.col("_offset") + F.col("_earlier")).alias("_first"), "_copies"), total
+    return placed.select("_key", (F.col("_offset") + F.col("_earlier")).alias("_first"), "_copies"), total, most
 
 
 def ordered(rows: DataFrame, stride: int, fill: int, key: int) -> tuple[DataFrame, int]:
@@ -153,24 +158,30 @@ def ordered(rows: DataFrame, stride: int, fill: int, key: int) -> tuple[DataFram
     own for each copy.
     """
     common.on_workers(rows.sparkSession)
-    first, total = numbered(rows)
+    first, total, most = numbered(rows)
     first = broadcast_if_small(common.stored(first), max_rows=MAX_ROWS)
-    whole = rows.dropDuplicates(["_key"]) if _repeats(first) else rows
-
-    def piece(place: Column) -> Column:
-        part = place % F.col("_n")
+    start = F.col("_first")
+    if most:
+        step = F.greatest(F.lit(1), F.floor(BLOCK / F.col("_n"))).cast("long")
+        whole = rows.dropDuplicates(["_key"]).join(first, "_key")
+        whole = common.copied(whole, "_copies", step, ["_key"], dealt=most > BLOCK)
+        start = start + F.col("_copy") * F.col("_n")
+    else:
+        whole = rows.join(first, "_key")
+
+    def piece(part: Column) -> Column:
         data = F.substring("_payload", (part * stride + 1).cast("int"), F.lit(stride))
         record = F.rpad(data, stride, F.lit(bytes([fill])))
         return F.struct(
-            (F.col("_first") + place).alias("number"),
+            (start + part).alias("number"),
             part.alias("part"),
             F.octet_length(data).alias("size"),
             record.alias("record"),
         )
 
-    # The pieces of a text are cut before they become rows, so no row carries the whole text.
-    places = F.sequence(F.lit(0).cast("long"), F.col("_n") * F.col("_copies") - 1)
-    cut = whole.join(first, "_key").select("_id", F.explode(F.transform(places, piece)).alias("_piece"))
+    # The pieces of one copy are cut before they become rows, so no row of a piece carries the whole text.
+    parts = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    cut = whole.select("_id", F.explode(F.transform(parts, piece)).alias("_piece"))
     return cut.select(
         slot_of(F.col("_piece.number"), max(total, 1), key).alias("_slot"),
         "_id",
@@ -180,10 +191,6 @@ def ordered(rows: DataFrame, stride: int, fill: int, key: int) -> tuple[DataFram
     ), total
 
 
-def _repeats(first: DataFrame) -> bool:
-    return not first.filter("_copies > 1").isEmpty()
-
-
 def write_shards(rows: DataFrame, total: int, path: str, rows_per_shard: int = ROWS_PER_SHARD) -> None:
     """Writes `_record` of every `_slot` to one file per shard, under `path`/shard=number.
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.llm import feistel, histogram_sort, poisson_mix, tool_calls
+from docspark.llm import block_naming, feistel, histogram_sort, poisson_mix, tool_calls
 from docspark.llm.common import table
 
 DOCS = "doc_id bigint, text string, source string"
@@ -120,6 +120,29 @@ def test_token_ids_as_records(spark):
     assert total == 3 and got == {(1, 0): [1, 70000, 3, 0], (4, 0): [9] * 4, (4, 1): [9, 0, 0, 0]}
 
 
+def spread(frame, key):
+    """Rows of all tasks and of the largest."""
+    counts = [r["count"] for r in frame.filter(key).groupBy(F.spark_partition_id()).count().collect()]
+    return sum(counts), max(counts)
+
+
+def test_copies_of_one_row_are_spread(spark):
+    """Numbers and pieces of many copies are made by many tasks, each copy once."""
+    rows = [(None, "one text of thirty-two bytes ...")] * 9000 + [(i, "other " * i) for i in range(50)] + [(7, "twice")] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got, total = feistel.ordered(feistel.byte_sequences(frame, length=8), 8, 0xFF, 3)
+    assert total == sum(-(-len(t) // 8) for _, t in rows)
+    assert sorted(r._slot for r in got.select("_slot").collect()) == list(range(total))
+    n, most = spread(got, F.col("_id").isNull())
+    assert n == 4 * 9000 and most <= n / 2
+    parts = got.filter("_id IS NULL").groupBy("_part", F.col("_record").cast("string").alias("r")).count().collect()
+    assert sorted((r["_part"], r["r"], r["count"]) for r in parts) == [(k, rows[0][1][8 * k : 8 * k + 8], 9000) for k in range(4)]
+    groups = block_naming.exact_groups(frame)
+    n, most = spread(groups, F.col("doc_id").isNull())
+    assert n == 9000 and most <= n / 2
+    assert groups.filter("doc_id IS NULL AND kept").count() == 1 and groups.count() == len(rows)
+
+
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", True), "note": ("string", False)}, "list": {"of": ("array", True)}}
 CALLS = "conv_id bigint, turn bigint, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id bigint, turn bigint, call_id string, content string"

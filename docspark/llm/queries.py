@@ -12,13 +12,16 @@ from docspark.llm import (
     block_naming,
     bpe,
     feistel,
+    filter_lattice,
     histogram_sort,
     hyperminhash,
     line_blocks,
     line_frequency,
     nbsvm,
     poisson_mix,
+    skyband,
     tool_calls,
+    warc,
 )
 from docspark.llm.common import new_folder, table
 
@@ -269,3 +272,113 @@ WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 )
 def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(table(spark, sf_dir, "documents")).drop("text_tag")
+
+
+@query(
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS bytes FROM pages
+), r AS (
+  SELECT page_id, bytes, sha256(html) AS payload_digest,
+    CASE WHEN bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS holder FROM p
+)
+SELECT page_id, bytes AS payload_bytes, payload_digest,
+  CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN holder <> page_id THEN holder END AS refers_to, true AS intact
+FROM r
+"""
+)
+def op11_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), new_folder(spark)).select(
+        F.col("record_key").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to_key").alias("refers_to"),
+        "intact",
+    )
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), grp AS (SELECT DISTINCT lang, source FROM d
+), used AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, k.n AS lang_n
+  FROM grp g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)
+), p AS (
+  SELECT *,
+    1 + (1000000000 * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS p,
+    1 + (1000000000 * (lang_n + 5)) // (sum(lang_n) OVER s + 5 * count(*) OVER s) AS q
+  FROM cells WINDOW s AS (PARTITION BY lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 50
+"""
+)
+def op12_skyband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skyband.divergence(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM d
+), marks AS (
+  SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN copy THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN marks USING (doc_id)
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, filter_order[step:step] AS filter, filter_order[1:step - 1] AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), m AS (
+  SELECT *, before <> '' AND regexp_matches(fails, '[' || before || 'x]') AS gone, contains(fails, filter) AS failing
+  FROM f, s
+), steps AS (
+  SELECT part, filter_order, step, filter,
+    count(*) FILTER (NOT gone AND NOT failing) AS kept,
+    count(*) FILTER (NOT gone AND failing) AS removed,
+    count(*) FILTER (gone AND failing) AS redundant,
+    count(*) FILTER (fails = filter) AS unique_fails,
+    count(*) FILTER (NOT gone AND failing AND good) AS good_lost,
+    count(*) FILTER (NOT gone AND failing AND toxic) AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM steps
+"""
+)
+def op13_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_lattice.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from docspark.operators.fields import with_fields
 from docspark.operators.ocr import layout_summary
 from docspark.operators.payload import merge_entities, payload_columns
 from docspark.sources.messages import upload_hint
+from docspark.sources.partitions import ARRIVED, only
 
 TEXT_NOT_FOUND = "text_not_found"
-DOC_BUCKET = "doc_bucket"
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ class DocumentTables:
     entities:     doc_id, pos, Text, Type, Score
     key_phrases:  doc_id, pos, Text, Score
 
-    A table may carry a ``doc_bucket`` partition column (see ``doc_bucket``).
+    A table may be partitioned by the day its document ``arrived``
+    (``partitions.write_arrivals``).
     """
 
     texts: DataFrame
@@ -37,41 +38,27 @@ class DocumentTables:
     block_order: tuple[str, ...] = ("page", "pos")
     entities: DataFrame | None = None
     key_phrases: DataFrame | None = None
-    buckets: int = 1024
     arrival: tuple[str, ...] = ()
 
-    def restricted(self, ids: DataFrame) -> DocumentTables:
-        """The tables cut to some documents before anything is grouped.
+    def restricted(self, events: DataFrame) -> DocumentTables:
+        """The tables cut to the documents of some events before anything is grouped.
 
-        Of a table partitioned by bucket only the buckets of the ids are read.
-        Their numbers, at most ``buckets`` of them, pass through the driver to
-        become a partition filter.
+        Where the events know the day their document arrived, only the partitions of
+        these days are read.
         """
-        keys = ids.select("doc_id").distinct()
-        given = (self.texts, self.blocks, self.entities, self.key_phrases)
-        bucketed = any(t is not None and DOC_BUCKET in t.columns for t in given)
-        needed = self._needed_buckets(keys) if bucketed else []
+        keys = events.select("doc_id").distinct()
 
         def cut(table: DataFrame | None) -> DataFrame | None:
             if table is None:
                 return None
-            if DOC_BUCKET in table.columns:
-                table = table.filter(F.col(DOC_BUCKET).isin(needed)).drop(DOC_BUCKET)
+            if ARRIVED in table.columns and ARRIVED in events.columns:
+                table = only(table, ARRIVED, events).drop(ARRIVED)
             return table.join(keys, "doc_id", "left_semi")
 
-        texts, blocks, entities, key_phrases = map(cut, given)
-        return DocumentTables(
-            texts, blocks, self.block_order, entities, key_phrases, self.buckets, self.arrival
+        texts, blocks, entities, key_phrases = map(
+            cut, (self.texts, self.blocks, self.entities, self.key_phrases)
         )
-
-    def _needed_buckets(self, keys: DataFrame) -> list[int]:
-        bucket = doc_bucket(F.col("doc_id"), self.buckets).alias(DOC_BUCKET)
-        return [row[DOC_BUCKET] for row in keys.select(bucket).distinct().collect()]
-
-
-def doc_bucket(doc_id, buckets: int):
-    """Partition number under which the document tables keep a document."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+        return replace(self, texts=texts, blocks=blocks, entities=entities, key_phrases=key_phrases)
 
 
 def documents(tables: DocumentTables) -> DataFrame:

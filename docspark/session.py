@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,17 @@ JOB_SETTINGS = {
 }
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine find the library where the driver has it.
+
+    On a cluster the library is shipped with the job, as for any Spark program.
+    """
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p and p != root]
+    environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def job_session(app_name: str) -> SparkSession:
     """Session of a submitted job; master and sizes come from the cluster."""
     builder = SparkSession.builder.appName(app_name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import paths
 from docspark.functions import patterns as P
 from docspark.sources.messages import FILE_NOT_FOUND
+from docspark.sources.partitions import ARRIVED
 
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -61,11 +62,13 @@ def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
 
     One scan of the file table by path, not one fetch per event. Of a path that
     was landed more than once the latest file counts, or the longest where the
-    table has no ``modificationTime``; the events stay as many as they are.
+    table has no ``modificationTime``; the events stay as many as they are. The day
+    the file ``arrived`` comes along where the table has it.
     """
     order = "modificationTime" if "modificationTime" in files.columns else "length"
+    given = ["length"] + [ARRIVED for _ in range(ARRIVED in files.columns)]
     found = files.groupBy(paths.path_key(F.col("path")).alias("_path")).agg(
-        F.max_by("length", order).alias("length")
+        *(F.max_by(name, order).alias(name) for name in given)
     )
     joined = events.withColumn("_path", paths.path_key(F.col("file_path"))).join(
         found, "_path", "left"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -62,6 +62,18 @@ class Store:
     def raw(self) -> str:
         return f"{self.base}/raw"
 
+    @property
+    def objects(self) -> str:
+        return f"{self.base}/objects"
+
+    @property
+    def landed(self) -> str:
+        return f"{self.base}/landed"
+
+    @property
+    def outbox(self) -> str:
+        return f"{self.base}/outbox"
+
     @property
     def dead_letters(self) -> str:
         return f"{self.base}/dead_letters"
@@ -143,8 +155,10 @@ def append_feedback(events: DataFrame, store: Store) -> None:
     with_ids(events).write.mode("append").parquet(store.feedback)
 
 
-def with_ids(events: DataFrame) -> DataFrame:
-    return events.withColumn("event_id", F.coalesce("event_id", F.uuid()))
+def with_ids(events: DataFrame, new_id: Column | None = None) -> DataFrame:
+    """Events of which each has an id: a null or empty one is replaced."""
+    new_id = F.uuid() if new_id is None else new_id
+    return events.withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit("")), new_id))
 
 
 def recorded(corrections: DataFrame) -> DataFrame:

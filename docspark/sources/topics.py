@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """Values of a topic from the earliest offset on, with their arrival order.
@@ -39,7 +35,7 @@ def directory_stream(spark: SparkSession, directory: str, **options: str) -> Dat
 def kafka_publisher(servers: str, topic: str):
     """Publisher of (key, value) frames to a topic."""
 
-    def publish(messages: DataFrame, batch_id: int) -> None:
+    def publish(messages: DataFrame, name: str) -> None:
         (
             messages.write.format("kafka")
             .option("kafka.bootstrap.servers", servers)
@@ -51,19 +47,9 @@ def kafka_publisher(servers: str, topic: str):
 
 
 def directory_publisher(directory: str):
-    """Publisher of (key, value) frames to one directory per batch."""
+    """Publisher of (key, value) frames to one directory per part of a batch; a part sent again replaces itself."""
 
-    def publish(messages: DataFrame, batch_id: int) -> None:
-        messages.write.mode("overwrite").parquet(f"{directory}/batch_id={batch_id}")
+    def publish(messages: DataFrame, name: str) -> None:
+        messages.write.mode("overwrite").parquet(f"{directory}/batch={name}")
 
     return publish
-
-
-def publish_or_log(publish, messages: DataFrame, batch_id: int, required: bool) -> None:
-    """Publishes; a failure stops the batch only if publishing is required."""
-    try:
-        publish(messages, batch_id)
-    except Exception:
-        if required:
-            raise
-        log.exception("batch %s was not published", batch_id)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docspark import schemas
-from docspark.sources import messages, store, topics
+from docspark.sources import messages, store
+from docspark.streaming.outbox import Outbox, Publisher
 
 
 def decode(batch: DataFrame) -> DataFrame:
@@ -29,21 +29,30 @@ def decode(batch: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class FeedbackJob:
     store: store.Store
-    publish: Callable[[DataFrame, int], None] | None = None
+    publish: Publisher | None = None
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Writes the events and, apart from them, what could not be read."""
+        """Writes the events and, apart from them, what could not be read.
+
+        The source is read once. An event without an id gets one from its place in
+        the topic and its text, so a batch that is run again writes the same rows.
+        """
         spark = batch.sparkSession
-        decoded = decode(batch)
-        letters = messages.dead_letters(decoded).select("value", "seq", "reason")
-        store.write_batch(letters, self.store.feedback_dead_letters, batch_id)
-        events = messages.valid(decoded).select(*schemas.FEEDBACK.names)
-        location = store.write_batch(store.with_ids(events), self.store.feedback, batch_id)
+        decoded = decode(batch).persist()
+        try:
+            letters = messages.dead_letters(decoded).select("value", "seq", "reason")
+            store.write_batch(letters, self.store.feedback_dead_letters, batch_id)
+            own_id = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "value"), 256)
+            events = store.with_ids(messages.valid(decoded), own_id).select(*schemas.FEEDBACK.names)
+            location = store.write_batch(events, self.store.feedback, batch_id)
+        finally:
+            decoded.unpersist()
         if self.publish is not None:
             events = spark.read.schema(schemas.FEEDBACK).parquet(location)
             value = messages.event_json(events, schemas.FEEDBACK)
-            out = messages.to_messages(events, "doc_id", value)
-            topics.publish_or_log(self.publish, out, batch_id, required=False)
+            box = Outbox(f"{self.store.outbox}/feedback", self.publish)
+            box.put(messages.to_messages(events, "doc_id", value), batch_id)
+            box.flush(spark)
 
 
 def start(

@@ -10,28 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docspark import schemas
+from docspark.functions import paths
 from docspark.operators import tables
 from docspark.operators.payload import payload_json
 from docspark.plans.process import DocumentTables, documents, process
 from docspark.sources import files as raw_files
-from docspark.sources import messages, store, topics
-
-Publisher = Callable[[DataFrame, int], None]
+from docspark.sources import landed, messages, objects, store
+from docspark.sources.partitions import ARRIVED
+from docspark.streaming.outbox import Outbox, Publisher
 
 
 @dataclass(frozen=True)
 class UploadJob:
     """What a micro-batch of upload messages is turned into.
 
-    ``files`` gives path and length of the raw files; None takes the paths of
-    events on trust. ``store.raw_files`` reads them from the landing job's table;
-    a scan of the folder lists every file in it for every batch.
+    ``from_landing`` looks the paths of events up in the index of the landing job, of
+    which a batch reads its own partitions. ``files`` gives path and length of raw
+    files from elsewhere; a scan of a folder lists every file in it for every batch.
+    Without either, paths are taken on trust.
     """
 
     store: store.Store
     tables: Callable[[], DocumentTables]
     backend: str | None = "tesseract"
     files: Callable[[], DataFrame] | None = None
+    from_landing: bool = False
     publish: Publisher | None = None
     publish_required: bool = False
 
@@ -58,8 +61,9 @@ class UploadJob:
 
         if self.publish is not None:
             out = done.withColumn("json_uri", uri)
-            events_out = messages.to_messages(out, "doc_id", payload_json("json_uri"))
-            topics.publish_or_log(self.publish, events_out, batch_id, self.publish_required)
+            box = Outbox(f"{self.store.outbox}/processed", self.publish)
+            box.put(messages.to_messages(out, "doc_id", payload_json("json_uri")), batch_id)
+            box.flush(spark, self.publish_required)
 
     def _checked(self, decoded: DataFrame) -> DataFrame:
         """Events whose file is missing get a reason, too.
@@ -67,16 +71,22 @@ class UploadJob:
         Bad messages have no path and stay out of the join, where their nulls
         would all meet in one task.
         """
-        if self.files is None:
+        valid = messages.valid(decoded)
+        if self.from_landing:
+            known = landed.lookup(valid, self.store)
+        elif self.files is not None:
+            known = self.files()
+        else:
             return decoded
-        checked = raw_files.with_files(messages.valid(decoded), self.files()).drop("length")
-        return checked.unionByName(messages.dead_letters(decoded))
+        checked = raw_files.with_files(valid, known).drop("length")
+        return checked.unionByName(messages.dead_letters(decoded), allowMissingColumns=True)
 
     def _write(self, decoded: DataFrame, batch_id: int) -> None:
         spark = decoded.sparkSession
         events = messages.valid(decoded)
         docs = documents(self.tables().restricted(events))
-        store.write_processed(process(events, docs, self.backend), self.store, batch_id)
+        rows = process(events.drop(ARRIVED), docs, self.backend)
+        store.write_processed(rows, self.store, batch_id)
 
         columns = ["value", "seq", "doc_id", "file_path", "reason"]
         unread = store.unprocessed(spark, self.store, batch_id).select(columns)
@@ -103,25 +113,39 @@ def start(
 
 @dataclass(frozen=True)
 class LandingJob:
-    """Registers new files: raw copy, queued manifest, upload message."""
+    """Takes in new files: one stored object each, index, queued manifest, upload message."""
 
     store: store.Store
     hint: str = "unknown"
     publish: Publisher | None = None
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """Stores the files of a batch and registers them under the names they are stored by.
+
+        The message names the stored object, so the inbox may be emptied. Ids and names
+        follow from the files, so a batch that is run again replaces what it wrote.
+        """
         spark = batch.sparkSession
-        landed = raw_files.landed_uploads(batch, self.hint)
+        taken = raw_files.landed_uploads(batch, self.hint)
+        objects.write_objects(taken.select(F.col("stored_name").alias("name"), "content"), self.store.objects)
+
+        uri = F.concat(F.lit(f"{self.store.objects}/"), F.col("stored_name"))
+        rows = taken.withColumns(
+            {"source_path": F.col("path"), "file_path": uri, "storage": paths.storage_kind(uri)}
+        )
         columns = ["doc_id", "file_path", "doc_type", "stored_name", "storage", "length"]
-        columns += ["modificationTime", "content"]
-        location = store.write_batch(landed.select(columns), self.store.raw, batch_id)
-        uploads = spark.read.parquet(location).drop("content")
+        columns += ["modificationTime", "source_path"]
+        location = store.write_batch(rows.select(columns), self.store.raw, batch_id)
+        uploads = spark.read.parquet(location)
+        landed.merge(uploads, self.store)
         # The file's own time: a batch that is run again writes the same rows.
         manifest = tables.queued_manifest(uploads, F.col("modificationTime"))
         store.write_manifest(manifest, self.store, "landing", batch_id)
         if self.publish is not None:
             value = messages.event_json(uploads, schemas.UPLOAD_EVENT)
-            self.publish(messages.to_messages(uploads, "doc_id", value), batch_id)
+            box = Outbox(f"{self.store.outbox}/uploads", self.publish)
+            box.put(messages.to_messages(uploads, "doc_id", value), batch_id)
+            box.flush(spark, required=True)
 
 
 def start_landing(

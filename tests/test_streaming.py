@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.operators.payload import payload_json
-from docspark.plans.process import DocumentTables, doc_bucket, documents, process
-from docspark.sources import files, messages, store, topics
+from docspark.functions.paths import path_key
+from docspark.plans.process import DocumentTables, documents, process
+from docspark.sources import files, filesystem, landed, messages, objects, partitions, store, topics
 from docspark.streaming import feedback, uploads
+from docspark.streaming.outbox import Outbox
 
 TEXTS = [("a", "Invoice # 7\nTotal USD 5"), ("b", "hello"), ("c", "Passport # X1234567")]
 
@@ -129,7 +131,7 @@ def test_landed_files_feed_the_upload_job(spark, job, tmp_path):
     sent = spark.read.parquet(str(tmp_path / "q"))
     texts = sent.select(F.col("key").alias("doc_id"), F.lit("kyc").alias("text"))
     known = uploads.UploadJob(
-        job.store, lambda: DocumentTables(texts), files=lambda: store.raw_files(spark, job.store)
+        job.store, lambda: DocumentTables(texts), from_landing=True
     )
     known.run_batch(sent.select("value", F.lit(0).cast("bigint").alias("seq")), 0)
     row = store.processed(spark, job.store).first()
@@ -162,16 +164,82 @@ def test_compaction(spark, job, tmp_path):
     assert got == snapshot(spark, job)
 
 
-def test_bucketed_tables_read_only_needed_partitions(spark, tmp_path):
-    texts = spark.range(500).selectExpr("CAST(id AS STRING) AS doc_id", "'t' AS text")
-    bucket = doc_bucket(F.col("doc_id"), 16)
-    texts.withColumn("doc_bucket", bucket).write.partitionBy("doc_bucket").parquet(str(tmp_path / "t"))
+def partitions_read(frame):
+    """Partitions that each partitioned scan of an executed plan has opened."""
+    found, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "FileSourceScanExec" and node.metrics().contains("numPartitions"):
+                found.append(node.metrics().apply("numPartitions").value())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_document_tables_open_only_the_days_of_the_events(spark, tmp_path):
+    days = [f"2024-03-{d:02}" for d in range(1, 21)]
+    texts = spark.createDataFrame([(f"{d}-{i}", "t", d) for d in days for i in range(5)], "doc_id STRING, text STRING, arrived STRING")
+    texts = texts.withColumn("arrived", F.col("arrived").cast("date"))
+    for batch_id in (0, 1, 1):
+        part = texts.filter(F.dayofmonth("arrived") % 2 == batch_id)
+        partitions.write_arrivals(part, str(tmp_path / "t"), batch_id)
     table = spark.read.parquet(str(tmp_path / "t"))
-    ids = spark.createDataFrame([("7",), ("7",), ("none",)], "doc_id STRING")
-    kept = DocumentTables(table, buckets=16).restricted(ids).texts
-    assert [tuple(r) for r in kept.collect()] == [("7", "t")]
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [doc_bucket" in plan
+    assert table.count() == 100
+    events = texts.filter("doc_id IN ('2024-03-07-1', '2024-03-08-4')").select("doc_id", "arrived")
+    kept = DocumentTables(table).restricted(events).texts
+    assert sorted(r.doc_id for r in kept.collect()) == ["2024-03-07-1", "2024-03-08-4"]
+    assert partitions_read(kept) == [2]
+    # Events that do not know the day are looked for on all days.
+    assert DocumentTables(table).restricted(events.drop("arrived")).texts.count() == 2
+
+
+def landing_rows(spark, names, hour):
+    rows = [(f"/raw/{n}", f"id-{n}-{hour}", 10 + hour, f"2024-05-01 {hour:02}:00:00") for n in names]
+    frame = spark.createDataFrame(rows, "file_path STRING, doc_id STRING, length BIGINT, t STRING")
+    return frame.withColumn("modificationTime", F.col("t").cast("timestamp")).drop("t")
+
+
+def test_index_reads_and_rewrites_only_partitions_of_its_batch(spark, tmp_path):
+    where = store.Store(str(tmp_path / "store"))
+    for batch_id in range(12):
+        batch = landing_rows(spark, [f"b{batch_id}-{i}" for i in range(4)] + ["same"], batch_id)
+        store.write_batch(batch, where.raw, batch_id)
+        landed.merge(batch, where)
+    everything = sorted(map(tuple, landed.index(spark, where).collect()))
+    assert len(everything) == 12 * 4 + 1
+    assert [r[1] for r in everything if r[0] == "/raw/same"] == ["id-same-11"]
+
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "landed").rglob("*.parquet")}
+    landed.merge(landing_rows(spark, ["b3-1", "same"], 3), where)  # an older batch once more
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "landed").rglob("*.parquet")}
+    assert sorted(map(tuple, landed.index(spark, where).collect())) == everything
+    assert len(set(before.items()) - set(after.items())) == 2
+
+    events = spark.createDataFrame([("/raw/b5-2",), ("file:///raw/same",), ("/raw/none",)], "file_path STRING")
+    found = landed.lookup(events, where)
+    assert {r.path for r in found.collect()} >= {"/raw/b5-2", "/raw/same"}
+    assert len(partitions_read(found)) == 1 and partitions_read(found)[0] <= 3
+
+
+def test_an_interrupted_merge_is_made_good_from_the_log(spark, tmp_path):
+    where = store.Store(str(tmp_path / "store"))
+    for batch_id in range(3):
+        batch = landing_rows(spark, [f"b{batch_id}-{i}" for i in range(3)], batch_id)
+        store.write_batch(batch, where.raw, batch_id)
+        landed.merge(batch, where)
+    everything = sorted(map(tuple, landed.index(spark, where).collect()))
+    lost = landed.index(spark, where).filter("path = '/raw/b1-1'").first().path_bucket
+    filesystem.create_if_absent(spark, f"{where.landed}_merging", "")
+    filesystem.delete(spark, f"{where.landed}/path_bucket={lost}")
+    landed.merge(landing_rows(spark, ["b2-0"], 2), where)
+    assert sorted(map(tuple, landed.index(spark, where).collect())) == everything
+    assert not filesystem.exists(spark, f"{where.landed}_merging")
 
 
 def test_landing(spark, tmp_path):
@@ -188,7 +256,12 @@ def test_landing(spark, tmp_path):
 
     run_landing()
     raw = spark.read.parquet(where.raw).first()
-    assert bytes(raw.content) == b"data" and raw.stored_name == raw.doc_id + ".PDF"
+    assert raw.stored_name == raw.doc_id + ".PDF" and raw.source_path.endswith("/inbox/x.PDF")
+    (inbox / "x.PDF").unlink()
+    stored = files.read_files(spark, where.objects).collect()
+    assert [(f.path.split("/")[-1], bytes(f.content)) for f in stored] == [(raw.stored_name, b"data")]
+    named = spark.createDataFrame([(raw.file_path,), (stored[0].path,)], "path STRING")
+    assert named.select(path_key(F.col("path"))).distinct().count() == 1
     manifest = store.manifests(spark, where).first()
     assert (manifest.doc_id, manifest.status, manifest.doc_type) == (raw.doc_id, "queued", "invoice")
     message = spark.read.parquet(str(tmp_path / "out")).first()
@@ -232,3 +305,60 @@ def test_a_batch_reads_only_its_own_partition(spark, tmp_path):
     assert one.count() == 3 and {r.batch_id for r in one.collect()} == {7}
     assert all("/batch_id=7/" in f for f in one.inputFiles())
     assert store.processed_versions(spark, where).count() == 36
+
+
+def test_ids_of_events_without_one(spark):
+    rows = [("", "a"), ("", "b"), (None, "c"), ("", "a"), ("x", "d")]
+    events = spark.createDataFrame(rows, "event_id STRING, doc_id STRING")
+    others = {n: F.lit(None).cast("string") for n in schemas.FEEDBACK.names if n not in events.columns}
+    log = store.with_ids(events.withColumns(others))
+    assert store.latest_feedback(log).count() == 5
+
+
+def test_feedback_replay_writes_the_same_ids(spark, tmp_path):
+    where = store.Store(str(tmp_path / "store"))
+    job = feedback.FeedbackJob(where)
+    values = [json.dumps({"event_id": e, "doc_id": "a", "field": "f", "actual": "x"}) for e in ("", "", None, "e")]
+    batch = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value STRING, seq BIGINT")
+    job.run_batch(batch, 0)
+    first = {r.event_id for r in store.feedback(spark, where).collect()}
+    job.run_batch(batch, 0)
+    assert {r.event_id for r in store.feedback(spark, where).collect()} == first
+    assert len(first) == 4 and "" not in first
+
+
+def test_outbox_sends_each_part_once(spark, tmp_path):
+    sent, broken = [], {"3-1"}
+
+    def publish(rows, name):
+        if name in broken:
+            raise RuntimeError("no broker")
+        sent.extend(map(tuple, rows.collect()))
+
+    box = Outbox(str(tmp_path / "box"), publish, parts=4)
+    rows = [(f"k{i}", f"v{i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "key STRING, value STRING")
+    box.put(frame, 3)
+    assert not box.flush(spark) and 0 < len(sent) < 40
+    with pytest.raises(RuntimeError):
+        box.flush(spark, required=True)
+    box.put(spark.createDataFrame([("k0", "changed")], "key STRING, value STRING"), 3)  # a replay changes nothing
+    broken.clear()
+    box.put(spark.createDataFrame([("later", "v")], "key STRING, value STRING"), 4)
+    assert box.flush(spark) and sorted(sent[:40]) == sorted(rows) and sent[40:] == [("later", "v")]
+    box.put(frame, 3)
+    assert box.flush(spark) and len(sent) == 41 and box.pending(spark) == []
+
+
+def test_objects_of_failed_tasks_do_not_appear(spark, tmp_path):
+    rows = [(f"n{i}" if i != 77 else "bad/name", bytes([i])) for i in range(100)]
+    frame = spark.createDataFrame(rows, "name STRING, content BINARY").repartition(4)
+    with pytest.raises(Exception, match="no name"):
+        objects.write_objects(frame, str(tmp_path / "o"))
+    assert [f for f in (tmp_path / "o").rglob("*") if f.is_file()] == []
+    good = frame.filter("name NOT LIKE '%/%'")
+    objects.write_objects(good, str(tmp_path / "o"))
+    objects.write_objects(good.filter("name = 'n5'").withColumn("content", F.lit(b"new")), str(tmp_path / "o"))
+    found = {f.name: f.read_bytes() for f in (tmp_path / "o").iterdir() if f.is_file()}
+    assert found == {n: (b"new" if n == "n5" else c) for n, c in rows if "/" not in n}
+    assert list((tmp_path / "o" / "_staging").iterdir()) == []

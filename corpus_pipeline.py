@@ -14,6 +14,11 @@ from docspark.llm import block_naming, bpe, hyperminhash, line_frequency, poisso
 from docspark.llm.common import stored, table
 
 
+def _as_given(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns in the order of `docs`, whatever they are called."""
+    return kept.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that their host repeats too often."""
     kept = line_frequency.cleaned(docs)
@@ -22,12 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return block_naming.deduplicated(docs).select(*docs.columns)
+    return _as_given(block_naming.deduplicated(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of their sets of five words."""
-    return hyperminhash.deduplicated(docs).select(*docs.columns)
+    return _as_given(hyperminhash.deduplicated(docs), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def shared_directory(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_base(spark: SparkSession) -> str:
+    """A folder of its own on the storage executors share."""
+    return f"{shared_directory(spark)}/docspark-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The frame computed once and kept on shared storage."""
     directory = shared_directory(df.sparkSession)

@@ -179,9 +179,13 @@ def feedback_oldest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fb.oldest_first(corpora.feedback(spark, sf_dir), 1000)
 
 
-@query(f"{_FEEDBACK} SELECT doc_id, field, predicted, actual FROM feedback")
+@query(
+    f"""{_FEEDBACK} SELECT event_id, doc_id, field, predicted, actual,
+      row_number() OVER (ORDER BY coalesce(ts, ''), event_id) AS position FROM feedback"""
+)
 def feedback_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fb.oldest_first(corpora.feedback(spark, sf_dir), 0)
+    numbered = fb.numbered_oldest_first(corpora.feedback(spark, sf_dir))
+    return numbered.select("event_id", "doc_id", "field", "predicted", "actual", "position")
 
 
 @query(f"{_FEEDBACK} SELECT event_id, doc_id, field FROM feedback WHERE actual IS NULL")

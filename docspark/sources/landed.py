@@ -33,7 +33,7 @@ def _marker(store: Store) -> str:
     return f"{store.landed}_merging"
 
 
-def index_rows(landed: DataFrame) -> DataFrame:
+def index_rows(landed: DataFrame, buckets: int) -> DataFrame:
     """Index rows of landed files (file_path, doc_id, length, modificationTime)."""
     return landed.select(
         F.col("file_path").alias("path"),
@@ -41,7 +41,7 @@ def index_rows(landed: DataFrame) -> DataFrame:
         "length",
         "modificationTime",
         F.to_date("modificationTime").alias(ARRIVED),
-        path_bucket(F.col("file_path")).alias(BUCKET),
+        path_bucket(F.col("file_path"), buckets).alias(BUCKET),
     )
 
 
@@ -66,7 +66,7 @@ def merge(landed: DataFrame, store: Store) -> None:
     spark = landed.sparkSession
     if filesystem.exists(spark, _marker(store)):
         rebuild(spark, store)
-    rows = index_rows(landed).persist()
+    rows = index_rows(landed, store.buckets).persist()
     try:
         known = rows
         if filesystem.exists(spark, store.landed):
@@ -81,11 +81,11 @@ def merge(landed: DataFrame, store: Store) -> None:
 def rebuild(spark: SparkSession, store: Store) -> None:
     """Makes the index anew from the log of the landing job."""
     log = spark.read.parquet(store.raw)
-    overwrite_partitions(_newest(index_rows(log)), store.landed, BUCKET)
+    overwrite_partitions(_newest(index_rows(log, store.buckets)), store.landed, BUCKET)
     filesystem.delete(spark, _marker(store))
 
 
 def lookup(events: DataFrame, store: Store) -> DataFrame:
     """Index rows that upload events may refer to: those of the partitions of their paths."""
-    wanted = events.select(path_bucket(F.col("file_path")).alias(BUCKET))
+    wanted = events.select(path_bucket(F.col("file_path"), store.buckets).alias(BUCKET))
     return only(index(events.sparkSession, store), BUCKET, wanted)

@@ -9,14 +9,14 @@ from pyspark.sql.types import DateType
 from docspark.functions import paths
 
 BUCKET = "path_bucket"
-BUCKETS = 1024
+MAX_BUCKETS = 1 << 16
 ARRIVED = "arrived"
 BATCH = "batch_id"
 _LAST_DAY = "9999-12-31"
 
 
-def path_bucket(path: Column) -> Column:
-    return F.pmod(F.xxhash64(paths.path_key(path)), F.lit(BUCKETS)).cast("int")
+def path_bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(paths.path_key(path)), F.lit(buckets)).cast("int")
 
 
 def only(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def only(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """
     day = isinstance(keys.schema[column].dataType, DateType)
     # The comparison holds for all values; it tells the optimizer that the join selects.
-    known = F.col(column) <= F.lit(_LAST_DAY).cast("date") if day else F.col(column) < BUCKETS
+    known = F.col(column) <= F.lit(_LAST_DAY).cast("date") if day else F.col(column) < MAX_BUCKETS
     return table.join(F.broadcast(keys.select(column).filter(known).distinct()), column, "left_semi")
 
 

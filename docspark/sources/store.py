@@ -38,9 +38,14 @@ _PROCESSED_ROWS = _with(
 
 @dataclass(frozen=True)
 class Store:
-    """Locations of the pipeline's tables under one base URI."""
+    """Locations of the pipeline's tables under one base URI.
+
+    ``buckets`` is the number of partitions of the landing index. It belongs to the
+    table: a store with billions of files is made with thousands.
+    """
 
     base: str
+    buckets: int = 256
 
     @property
     def processed(self) -> str:

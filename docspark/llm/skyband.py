@@ -15,7 +15,7 @@ come together in one task.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -251,7 +251,7 @@ def distances(kept: DataFrame, sums: DataFrame) -> DataFrame:
     rows = counted.unionByName(known).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = rows.withColumns({"a": F.least(own, "other"), "b": F.greatest(own, "other")})
     found = placed.groupBy("lang", "a", "b", "chunk").applyInPandas(
-        _block_distances, "lang string, one string, two string, value long"
+        _block_distances(BLOCK_SOURCES), "lang string, one string, two string, value long"
     )
     summed = found.groupBy("lang", "one", "two").agg(F.sum("value").alias("value"))
     ways = F.array(F.struct(F.col("one").alias("source"), F.col("two").alias("item")),
@@ -260,30 +260,35 @@ def distances(kept: DataFrame, sums: DataFrame) -> DataFrame:
     return both.select("lang", "way.source", "way.item", "value")
 
 
-def _block_distances(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums over the terms of a chunk, for the pairs of two blocks of sources.
+def _block_distances(size: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Sums over the terms of a chunk, for the pairs of two blocks of `size` sources.
 
     Terms that neither source has differ by the shares of no use. They are counted
     once for all terms, in the first chunk, and taken off where a term is here.
     """
-    lang, a, b, chunk = key
-    sources = rows[rows["term"].isna()].sort_values("at")
-    names, none, at = sources["source"].to_numpy(object), sources["none"].to_numpy(np.int64), sources["at"].to_numpy()
-    used = rows[rows["term"].notna()]
-    codes, terms = pd.factorize(used["term"])
-    shares = np.repeat(none[None, :], len(terms), axis=0)
-    shares[codes, np.searchsorted(at, used["at"].to_numpy())] = used["p"].to_numpy(np.int64)
-    everywhere = int(sources["kept"].iloc[0]) if chunk == 0 and len(sources) else 0
-    block, out = at // BLOCK_SOURCES, []
-    for i in np.flatnonzero(block == a):
-        others = np.flatnonzero((block == b) & (at > at[i]))
-        if len(others):
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lang, a, b, chunk = key
+        sources = rows[rows["term"].isna()].sort_values("at")
+        names, none, at = sources["source"].to_numpy(object), sources["none"].to_numpy(np.int64), sources["at"].to_numpy()
+        used = rows[rows["term"].notna()]
+        codes, terms = pd.factorize(used["term"])
+        shares = np.repeat(none[None, :], len(terms), axis=0)
+        shares[codes, np.searchsorted(at, used["at"].to_numpy())] = used["p"].to_numpy(np.int64)
+        # The part of all kept terms in the first chunk, less those that are here.
+        unseen = (int(sources["kept"].iloc[0]) if chunk == 0 else 0) - len(terms)
+        block, ones, twos, values = at // size, [names[:0]], [names[:0]], [np.array([], np.int64)]
+        for i in np.flatnonzero(block == a):
+            others = np.flatnonzero((block == b) & (at > at[i]))
             apart = np.abs(shares[:, others] - shares[:, [i]]).sum(axis=0)
-            unused = np.abs(none[others] - none[i])
-            out.append(pd.DataFrame({"one": names[i], "two": names[others], "value": apart + (everywhere - len(terms)) * unused}))
-    found = pd.concat(out) if out else pd.DataFrame({"one": [], "two": [], "value": np.array([], np.int64)})
-    found.insert(0, "lang", lang)
-    return found
+            ones.append(np.full(len(others), names[i], object))
+            twos.append(names[others])
+            values.append(apart + unseen * np.abs(none[others] - none[i]))
+        one, two, value = map(np.concatenate, (ones, twos, values))
+        text = lambda column: pd.Series(column, dtype=object)
+        return pd.DataFrame({"lang": text([lang] * len(one)), "one": text(one), "two": text(two), "value": value})
+
+    return run
 
 
 def divergence(

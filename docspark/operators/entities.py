@@ -90,10 +90,46 @@ def grouped_key_phrases(rows: DataFrame) -> DataFrame:
     )
 
 
+def answered_entities(responses: DataFrame) -> DataFrame:
+    """``grouped_entities`` of whole answers (doc_id, response), without a row per entity.
+
+    Of several answers for a document the greatest counts.
+    """
+    answers = responses.groupBy("doc_id").agg(F.max("response").alias("response"))
+
+    def first_of(kind: str) -> Column:
+        found = F.filter("response", lambda e: (e["Type"] == kind) & (e["Text"] != ""))
+        return F.get(found, 0)["Text"]
+
+    return answers.filter(F.size("response") > 0).select(
+        "doc_id",
+        entity_items(F.slice("response", 1, P.MAX_ENTITIES)).alias("entities"),
+        first_of("PERSON").alias("person"),
+        first_of("ORGANIZATION").alias("entity_organization"),
+    )
+
+
+def answered_key_phrases(responses: DataFrame) -> DataFrame:
+    """``grouped_key_phrases`` of whole answers (doc_id, response)."""
+    answers = responses.groupBy("doc_id").agg(F.max("response").alias("response"))
+    return answers.filter(F.size("response") > 0).select(
+        "doc_id", key_phrase_items(F.slice("response", 1, P.MAX_KEY_PHRASES)).alias("key_phrases")
+    )
+
+
 def with_enrichment(
     docs: DataFrame, entities: DataFrame | None, key_phrases: DataFrame | None
 ) -> DataFrame:
-    """Documents with their entity and key-phrase arrays.
+    """Documents with their entity and key-phrase arrays, from a row per entity and phrase."""
+    return enriched(
+        docs,
+        None if entities is None else grouped_entities(entities),
+        None if key_phrases is None else grouped_key_phrases(key_phrases),
+    )
+
+
+def enriched(docs: DataFrame, entities: DataFrame | None, key_phrases: DataFrame | None) -> DataFrame:
+    """Documents with the entity and key-phrase arrays of one row per document.
 
     ``enriched`` tells whether enrichment applies to the row: it does unless it
     is switched off (both inputs None) or the text is blank. Both arrays may
@@ -102,9 +138,9 @@ def with_enrichment(
     enabled = entities is not None or key_phrases is not None
     out = docs
     if entities is not None:
-        out = out.join(grouped_entities(entities), "doc_id", "left")
+        out = out.join(entities, "doc_id", "left")
     if key_phrases is not None:
-        out = out.join(grouped_key_phrases(key_phrases), "doc_id", "left")
+        out = out.join(key_phrases, "doc_id", "left")
     out = out.withColumn("enriched", ~is_blank(F.col("text")) if enabled else F.lit(False))
 
     def array(name: str, schema) -> Column:

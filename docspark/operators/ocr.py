@@ -110,6 +110,80 @@ def layout_summary(blocks: DataFrame, order: list[str]) -> DataFrame:
     return counts.join(first, "doc_id")
 
 
+def _blocks_of(rows: DataFrame, order: str, kept: Column, block) -> DataFrame:
+    """doc_id, order, n and the first blocks of each page, from the array column ``kept``.
+
+    Every page is cut where it stands: no row per block, and no shuffle of them.
+    """
+    found = rows.select("doc_id", F.col(order).alias("order"), kept.alias("_kept"))
+    first = F.slice("_kept", 1, P.MAX_LAYOUT_LINES)
+    return found.select(
+        "doc_id", "order", F.size("_kept").cast("bigint").alias("n"), F.transform(first, block).alias("blocks")
+    ).filter("n > 0")
+
+
+def _as_layout_block(**values: Column) -> Column:
+    """A layout block of the given values, null where there is none."""
+    return F.struct(
+        *(
+            values.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
+            for field in schemas.LAYOUT_BLOCK.fields
+        )
+    )
+
+
+def word_pages(pages: DataFrame) -> DataFrame:
+    """``clean_words`` of pages with parallel arrays, counted and cut to the first blocks of each page."""
+    columns = ("text", "conf", *_GEOMETRY)
+    words = F.transform(
+        F.arrays_zip(*columns),
+        lambda w: F.struct(
+            strip(w["text"]).alias("text"),
+            F.coalesce(w["conf"].try_cast("double"), F.lit(-1.0)).alias("confidence"),
+            *(w[name].alias(name) for name in _GEOMETRY),
+        ),
+    )
+    kept = F.filter(words, lambda w: (w["text"] != "") & (w["confidence"] >= 0))
+
+    def block(w: Column) -> Column:
+        geometry = {name: w[name].try_cast("int") for name in _GEOMETRY}
+        return _as_layout_block(
+            page=F.col("order"), text=w["text"], confidence=w["confidence"] / 100.0, **geometry
+        )
+
+    return _blocks_of(pages, "page", kept, block)
+
+
+def line_pages(results: DataFrame) -> DataFrame:
+    """``clean_lines`` of result pages, counted and cut to the first blocks of each page."""
+    empty_box = F.struct(
+        *(F.lit(None).cast("double").alias(n) for n in ("Left", "Top", "Width", "Height"))
+    )
+    kept = F.filter("blocks", lambda b: b["BlockType"] == "LINE")
+
+    def block(b: Column) -> Column:
+        return _as_layout_block(
+            type=F.lit("LINE"),
+            text=F.coalesce(b["Text"], F.lit("")),
+            confidence=F.coalesce(b["Confidence"], F.lit(0.0)) / 100.0,
+            page=F.coalesce(b["Page"], F.lit(1)),
+            bbox=F.coalesce(b["bbox"], empty_box),
+        )
+
+    return _blocks_of(results, "result_no", kept, block)
+
+
+def layout_of_pages(pages: DataFrame) -> DataFrame:
+    """``layout_summary`` of pages that are counted and cut: one aggregation over one row per page.
+
+    A page brings at most as many blocks as the summary keeps. The pages of a document
+    meet in one task, as those of its text do.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("order", "blocks")))
+    first = F.slice(F.flatten(F.transform(ordered, lambda p: p["blocks"])), 1, P.MAX_LAYOUT_LINES)
+    return pages.groupBy("doc_id").agg(F.sum("n").alias("line_count"), first.alias("layout_lines"))
+
+
 def text_or_sentinel(text: Column, status: Column, message: Column) -> Column:
     """Text of a read document, or the text that marks why it was not read.
 

@@ -12,6 +12,7 @@ from docspark.functions import pyjson
 from docspark.operators import entities as E
 from docspark.operators import ocr
 from docspark.operators.payload import payload_json
+from docspark.operators.small import new_base
 from docspark.plans import corpora
 from docspark.plans.catalog import sqltext as Q
 from docspark.plans.catalog.documents import FIELD_TABLES, sample_sql
@@ -269,18 +270,18 @@ def entities_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> DocumentTables:
-    """Texts of every kind; word boxes, entities and phrases of the plain ones."""
+def tables(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DocumentTables:
+    """Texts of every kind; pages of words, answers of entities and phrases of the plain ones."""
     return DocumentTables(
-        texts=corpora.mixed(spark, sf_dir),
-        blocks=words(spark, sf_dir),
-        entities=corpora.exploded(corpora.entity_responses(spark, sf_dir)),
-        key_phrases=corpora.exploded(corpora.key_phrase_responses(spark, sf_dir)),
+        texts=corpora.mixed(spark, sf_dir) if texts is None else texts,
+        pages=ocr.word_pages(corpora.ocr_word_arrays(spark, sf_dir)),
+        entity_answers=corpora.entity_responses(spark, sf_dir),
+        key_phrase_answers=corpora.key_phrase_responses(spark, sf_dir),
     )
 
 
-def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.mixed(spark, sf_dir).select(
+def upload_events(texts: DataFrame) -> DataFrame:
+    return texts.select(
         "doc_id",
         F.concat(F.lit("/raw/"), F.col("doc_id")).alias("file_path"),
         F.coalesce(F.nullif("hint", F.lit("")), F.lit("unknown")).alias("doc_type"),
@@ -288,7 +289,11 @@ def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process(upload_events(spark, sf_dir), documents(tables(spark, sf_dir)))
+    """Processed rows of all documents. The rendered texts are a stored table, read for events and texts."""
+    location = f"{new_base(spark)}/texts"
+    corpora.mixed(spark, sf_dir).write.parquet(location)
+    texts = spark.read.parquet(location)
+    return process(upload_events(texts), documents(tables(spark, sf_dir, texts)))
 
 
 _ENTITY_JSON = f"""'{{"text": ' || {Q.json_string("text")} || ', "type": ' ||

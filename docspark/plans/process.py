@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -10,14 +11,18 @@ from pyspark.sql import functions as F
 from docspark import schemas
 from docspark.operators import keyed
 from docspark.operators.doctype import with_doc_type
-from docspark.operators.entities import with_enrichment
+from docspark.operators.entities import answered_entities, answered_key_phrases, enriched
+from docspark.operators.entities import grouped_entities, grouped_key_phrases
 from docspark.operators.fields import with_fields
-from docspark.operators.ocr import layout_summary
+from docspark.operators.ocr import layout_of_pages, layout_summary
 from docspark.operators.payload import merge_entities, payload_columns
 from docspark.sources.messages import upload_hint
 from docspark.sources.partitions import ARRIVED, only
 
 TEXT_NOT_FOUND = "text_not_found"
+_TABLES = ("texts", "blocks", "entities", "key_phrases", "pages", "entity_answers", "key_phrase_answers")
+
+Grouping = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,13 @@ class DocumentTables:
     entities:     doc_id, pos, Text, Type, Score
     key_phrases:  doc_id, pos, Text, Score
 
+    Readers and services also give whole pages and answers. These are cut to what a
+    document keeps where they stand, without a row per word or entity:
+
+    pages:             doc_id, order, n, blocks, of ``ocr.word_pages`` or ``ocr.line_pages``
+    entity_answers:    doc_id, response: array of (Text, Type, Score)
+    key_phrase_answers: doc_id, response: array of (Text, Score)
+
     A table may be partitioned by the day its document ``arrived``
     (``partitions.write_arrivals``).
     """
@@ -39,6 +51,9 @@ class DocumentTables:
     entities: DataFrame | None = None
     key_phrases: DataFrame | None = None
     arrival: tuple[str, ...] = ()
+    pages: DataFrame | None = None
+    entity_answers: DataFrame | None = None
+    key_phrase_answers: DataFrame | None = None
 
     def restricted(self, events: DataFrame) -> DocumentTables:
         """The tables cut to the documents of some events before anything is grouped.
@@ -55,10 +70,7 @@ class DocumentTables:
                 table = only(table, ARRIVED, events).drop(ARRIVED)
             return table.join(keys, "doc_id", "left_semi")
 
-        texts, blocks, entities, key_phrases = map(
-            cut, (self.texts, self.blocks, self.entities, self.key_phrases)
-        )
-        return replace(self, texts=texts, blocks=blocks, entities=entities, key_phrases=key_phrases)
+        return replace(self, **{name: cut(getattr(self, name)) for name in _TABLES})
 
 
 def documents(tables: DocumentTables) -> DataFrame:
@@ -72,16 +84,29 @@ def documents(tables: DocumentTables) -> DataFrame:
     given = tables.texts.withColumn("text", F.coalesce("text", F.lit("")))
     newest = [F.col(name).desc() for name in (*tables.arrival, "text")]
     texts = keyed.latest_rows(given, ["doc_id"], newest).select("doc_id", "text")
-    docs = with_enrichment(texts, tables.entities, tables.key_phrases)
-    if tables.blocks is None:
+    entities, key_phrases = tables.entities, tables.key_phrases
+    docs = enriched(
+        texts,
+        _one(entities, grouped_entities, tables.entity_answers, answered_entities),
+        _one(key_phrases, grouped_key_phrases, tables.key_phrase_answers, answered_key_phrases),
+    )
+    if tables.blocks is None and tables.pages is None:
         empty = f"array<{schemas.LAYOUT_BLOCK.simpleString()}>"
         return docs.withColumns(
             {"line_count": F.lit(0).cast("bigint"), "layout_lines": F.lit(None).cast(empty)}
         )
-    layout = layout_summary(tables.blocks, list(tables.block_order))
+    order = list(tables.block_order)
+    layout = _one(tables.blocks, lambda rows: layout_summary(rows, order), tables.pages, layout_of_pages)
     return docs.join(layout, "doc_id", "left")
 
 
+def _one(rows: DataFrame | None, of_rows: Grouping, whole: DataFrame | None, of_whole: Grouping) -> DataFrame | None:
+    """One row per document, from whole pages or answers where they are given."""
+    if whole is not None:
+        return of_whole(whole)
+    return None if rows is None else of_rows(rows)
+
+
 def process(events: DataFrame, docs: DataFrame, backend: str | None = "tesseract") -> DataFrame:
     """Processed rows of valid upload events.
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from docspark.functions import patterns, pyjson
 from docspark.functions.text import first_line, non_blank_lines, strip, truncate_utf8
-from docspark.operators import fields
+from docspark.operators import entities as E
+from docspark.operators import fields, ocr
 from docspark.operators.doctype import keyword_scores, with_doc_type
 from docspark.operators.fields import with_fields
 from docspark.operators.payload import fields_json
 from docspark.plans import corpora
+from docspark.plans.catalog import reading
 
 RESUME = (
     "Jane Roe\njane.roe@mail.example.com.\n+1 (415) 555-0100\nExperience\nSkills:\nPython, C++\nSQL"
@@ -206,3 +208,34 @@ def test_json_numbers(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
     for value, text in frame.select("v", pyjson.float_text(F.col("v"))).collect():
         assert text == json.dumps(value)
+
+
+def test_whole_pages_and_answers_give_what_their_rows_give(spark, sf_dir):
+    """One row per page or answer, cut where it stands, against a row per block or entity."""
+    words, lines = corpora.ocr_word_arrays(spark, sf_dir), corpora.ocr_result_pages(spark, sf_dir)
+    by_row = ocr.layout_summary(ocr.clean_words(ocr.words_from_arrays(words)), ["page", "pos"])
+    whole = ocr.layout_of_pages(ocr.word_pages(words))
+    assert whole.exceptAll(by_row.select(*whole.columns)).isEmpty() and whole.count() == by_row.count()
+    by_row = ocr.layout_summary(ocr.clean_lines(ocr.blocks_from_results(lines)), ["result_no", "pos"])
+    whole = ocr.layout_of_pages(ocr.line_pages(lines))
+    assert whole.exceptAll(by_row.select(*whole.columns)).isEmpty() and whole.count() == by_row.count()
+
+    answers, phrases = corpora.entity_responses(spark, sf_dir), corpora.key_phrase_responses(spark, sf_dir)
+    by_row = E.grouped_entities(corpora.exploded(answers))
+    whole = E.answered_entities(answers)
+    assert whole.exceptAll(by_row.select(*whole.columns)).isEmpty() and whole.count() == by_row.count()
+    by_row = E.grouped_key_phrases(corpora.exploded(phrases))
+    whole = E.answered_key_phrases(phrases)
+    assert whole.exceptAll(by_row).isEmpty() and whole.count() == by_row.count()
+
+
+def test_an_answer_that_came_twice_counts_once(spark):
+    schema = "doc_id STRING, response ARRAY<STRUCT<Text: STRING, Type: STRING, Score: DOUBLE>>"
+    rows = [("a", [("x", "PERSON", 0.5)]), ("a", [("x", "PERSON", 0.5)]), ("b", []), ("c", None)]
+    got = E.answered_entities(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.doc_id, len(r.entities), r.person) for r in got] == [("a", 1, "x")]
+
+
+def test_payloads_scan_each_input_once(spark, sf_dir):
+    plan = reading.payloads(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 7

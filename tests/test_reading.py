@@ -5,11 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docspark import schemas
 from docspark.functions import paths
 from docspark.operators import entities as E
 from docspark.operators import keyed, ocr
 from docspark.operators.payload import payload_json
 from docspark.plans.process import DocumentTables, documents, process
+from docspark.streaming import json_objects
 
 
 def rows_of(frame, *order):
@@ -184,3 +186,34 @@ def test_response_arrays(spark):
     )
     got = frame.select(E.entity_items(F.col("r"))).collect()
     assert sorted(len(r[0]) for r in got) == [0, 1]
+
+
+def test_new_object_files_are_read_once(spark, tmp_path):
+    inbox = tmp_path / "objects" / "deep"
+    inbox.mkdir(parents=True)
+    good = json.dumps({"doc_id": "a", "event_id": "e1", "actual": "kyc"}, indent=2)
+    (inbox / "a.json").write_text(good)
+    (inbox / "cut.json").write_text(good[:-1])
+    (inbox / "list.json").write_text(f"[{good}]")
+    (inbox / "noid.json").write_text('{"doc_id": ""}')
+    (inbox / "bytes.json").write_bytes(b'{"doc_id": "\xff"}')
+    (inbox / "a.txt").write_text(good)
+    job = json_objects.ObjectTableJob(str(tmp_path / "t"), str(tmp_path / "d"), schemas.FEEDBACK)
+
+    def run():
+        source = json_objects.stream_objects(spark, str(tmp_path / "objects"))
+        json_objects.start(source, job, str(tmp_path / "cp")).awaitTermination()
+
+    run()
+    assert [(r.doc_id, r.event_id) for r in job.latest(spark).collect()] == [("a", "e1")]
+    letters = spark.read.parquet(job.dead_letters)
+    assert {r.file.split("/")[-1]: r.reason for r in letters.collect()} == {
+        "cut.json": "invalid_json_object", "list.json": "invalid_json_object",
+        "bytes.json": "invalid_json_object", "noid.json": "missing_doc_id",
+    }
+    run()  # nothing new
+    (inbox / "b.json").write_text(json.dumps({"doc_id": "a", "event_id": "e2"}))
+    run()
+    rows = spark.read.parquet(job.table)
+    assert sorted((r.event_id, r.batch_id) for r in rows.collect()) == [("e1", 0), ("e2", 1)]
+    assert [r.event_id for r in job.latest(spark).collect()] == ["e2"]

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import random
+from collections import Counter
 from datetime import UTC, datetime
 
 import pytest
@@ -272,3 +274,14 @@ def test_a_cluster_must_name_its_shared_folder(master):
     session.sparkContext.master = master
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         small.shared_directory(session)
+
+
+def test_positions_of_feedback_are_gapless_and_in_order(spark):
+    rows = [(f"e{i:04}", f"d{i % 7}", "t" if i % 3 else None) for i in random.Random(5).sample(range(3000), 3000)]
+    rows += [("e0000", "d0", None)] * 3
+    frame = spark.createDataFrame(rows, "event_id STRING, doc_id STRING, ts STRING").repartition(9)
+    got = feedback.numbered_oldest_first(frame).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, len(rows) + 1))
+    keys = [(r.ts or "", r.event_id) for r in got]
+    assert keys == sorted(keys) and Counter(r.event_id for r in got) == Counter(r[0] for r in rows)
+    assert feedback.numbered_oldest_first(frame.limit(0)).count() == 0

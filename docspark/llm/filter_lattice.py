@@ -99,7 +99,7 @@ def failures(
     says = lambda c: F.max(F.coalesce(c, F.lit(False)))
     marks = labels.groupBy(F.col(id_col).alias("id")).agg(says(good).alias("good"), says(toxic).alias("toxic"))
 
-    rows = _read(docs, id_col, text_col, part_col)
+    rows = common.stored(_read(docs, id_col, text_col, part_col))
     same = ["part", "mask", "digest", "good", "toxic"]
     no = F.lit(False)
     marked = rows.filter("id IS NOT NULL").join(marks, "id", "left")

@@ -14,6 +14,7 @@ from docspark.operators.fields import with_fields
 from docspark.operators.payload import fields_json
 from docspark.plans import corpora
 from docspark.plans.catalog import sqltext as Q
+from docspark.plans.catalog import sqlvalues as V
 from docspark.plans.catalog.registry import query
 
 _MIXED = corpora.with_tables("mixed")
@@ -67,7 +68,7 @@ def email_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_MIXED} SELECT doc_id, len(p) AS phones, {Q.joined("p")} AS phone FROM (
       SELECT doc_id, {Q.PHONES} AS p FROM (
-        SELECT doc_id, {Q.all_matches(P.PHONE)} AS ph FROM mixed))"""
+        SELECT doc_id, {Q.all_matches(V.PHONE)} AS ph FROM mixed))"""
 )
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = corpora.mixed(spark, sf_dir).select("doc_id", X.phones(F.col("text")).alias("p"))
@@ -94,7 +95,7 @@ def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_MIXED} SELECT doc_id, left(text, {P.MAX_PREVIEW_CHARS}) AS raw_preview FROM mixed")
+@query(f"{_MIXED} SELECT doc_id, left(text, {V.MAX_PREVIEW_CHARS}) AS raw_preview FROM mixed")
 def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.mixed(spark, sf_dir).select(
         "doc_id", X.raw_preview(F.col("text")).alias("raw_preview")
@@ -150,7 +151,7 @@ def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CUT = P.MAX_ENRICH_BYTES
+_CUT = V.MAX_ENRICH_BYTES
 
 
 def _continues(at: int) -> str:

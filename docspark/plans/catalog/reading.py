@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.functions import paths
-from docspark.functions import patterns as P
 from docspark.functions import pyjson
 from docspark.operators import entities as E
 from docspark.operators import ocr
@@ -15,6 +14,7 @@ from docspark.operators.payload import payload_json
 from docspark.operators.small import new_base
 from docspark.plans import corpora
 from docspark.plans.catalog import sqltext as Q
+from docspark.plans.catalog import sqlvalues as V
 from docspark.plans.catalog.documents import FIELD_TABLES, sample_sql
 from docspark.plans.catalog.registry import query
 from docspark.plans.process import DocumentTables, documents, process
@@ -104,8 +104,8 @@ def _summary(blocks: DataFrame, order: list[str]) -> DataFrame:
 
 def _summary_sql(tables: str, name: str, order: str) -> str:
     return f"""{tables} SELECT doc_id, max(n) AS line_count,
-      string_agg(text, '|' ORDER BY rn) FILTER (WHERE rn <= {P.MAX_LAYOUT_LINES}) AS first_texts,
-      round(sum(confidence ORDER BY rn) FILTER (WHERE rn <= {P.MAX_LAYOUT_LINES}), 6)
+      string_agg(text, '|' ORDER BY rn) FILTER (WHERE rn <= {V.MAX_LAYOUT_LINES}) AS first_texts,
+      round(sum(confidence ORDER BY rn) FILTER (WHERE rn <= {V.MAX_LAYOUT_LINES}), 6)
         AS confidence_sum
       FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n,
         row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn FROM {name})
@@ -127,8 +127,8 @@ _STATUS = """CASE doc_id % 5 WHEN 0 THEN 'unreadable_image' WHEN 1 THEN 'no_pdf_
 
 
 @query(
-    f"""SELECT doc_id, CASE {_STATUS} WHEN 'unreadable_image' THEN '{P.UNREADABLE_IMAGE}'
-      WHEN 'no_pdf_renderer' THEN '{P.NO_PDF_RENDERER}'
+    f"""SELECT doc_id, CASE {_STATUS} WHEN 'unreadable_image' THEN '{V.UNREADABLE_IMAGE}'
+      WHEN 'no_pdf_renderer' THEN '{V.NO_PDF_RENDERER}'
       WHEN 'pdf_failed' THEN '[pdf conversion failed: ' || source || ']' ELSE text END AS text
       FROM documents"""
 )
@@ -257,7 +257,7 @@ def entity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             OVER w AS organization
         FROM entity_rows WINDOW w AS (PARTITION BY doc_id ORDER BY pos
           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-      WHERE rn <= {P.MAX_ENTITIES} GROUP BY doc_id"""
+      WHERE rn <= {V.MAX_ENTITIES} GROUP BY doc_id"""
 )
 def entities_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = E.grouped_entities(corpora.exploded(corpora.entity_responses(spark, sf_dir)))
@@ -310,20 +310,20 @@ PAYLOAD_TABLES = f"""{FIELD_TABLES},
   entity_rows AS ({corpora.SQL["entity_rows"]}),
   key_phrase_rows AS ({corpora.SQL["key_phrase_rows"]}),
   layouts AS (SELECT doc_id, max(n) AS line_count, string_agg({_WORD_JSON}, ', ' ORDER BY rn)
-      FILTER (WHERE rn <= {P.MAX_LAYOUT_LINES}) AS first_lines
+      FILTER (WHERE rn <= {V.MAX_LAYOUT_LINES}) AS first_lines
     FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n,
       row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS rn FROM clean) GROUP BY doc_id),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM entity_rows),
   ents AS (SELECT doc_id,
-      string_agg({_ENTITY_JSON}, ', ' ORDER BY rn) FILTER (WHERE rn <= {P.MAX_ENTITIES}) AS e50,
-      string_agg({_ENTITY_JSON}, ', ' ORDER BY rn) FILTER (WHERE rn <= {P.MAX_FIELD_ENTITIES})
+      string_agg({_ENTITY_JSON}, ', ' ORDER BY rn) FILTER (WHERE rn <= {V.MAX_ENTITIES}) AS e50,
+      string_agg({_ENTITY_JSON}, ', ' ORDER BY rn) FILTER (WHERE rn <= {V.MAX_FIELD_ENTITIES})
         AS e25,
       first(text ORDER BY rn) FILTER (WHERE type = 'PERSON' AND text <> '') AS person,
       first(text ORDER BY rn) FILTER (WHERE type = 'ORGANIZATION' AND text <> '') AS org
     FROM ranked GROUP BY doc_id),
   phrases AS (SELECT doc_id, string_agg({_PHRASE_JSON}, ', ' ORDER BY rn) AS k30
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn
-      FROM key_phrase_rows) WHERE rn <= {P.MAX_KEY_PHRASES} GROUP BY doc_id),
+      FROM key_phrase_rows) WHERE rn <= {V.MAX_KEY_PHRASES} GROUP BY doc_id),
   merged AS (SELECT f.* EXCLUDE (name), {Q.stripped("f.text")} <> '' AS enriched,
       CASE WHEN {Q.stripped("f.text")} <> '' AND e50 IS NOT NULL
         THEN coalesce(nullif(f.name, ''), person, f.name) ELSE f.name END AS name,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from docspark.functions import patterns as P
+from docspark.plans.catalog import sqlvalues as V
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-SPACES = quoted(P.PY_SPACE)
+SPACES = quoted(V.PY_SPACE)
 
 
 def stripped(text: str) -> str:
@@ -17,7 +17,7 @@ def stripped(text: str) -> str:
 
 
 def score(doc_type: str, text: str = "text") -> str:
-    words = {"resume": P.RESUME_KEYWORDS, "invoice": P.INVOICE_KEYWORDS, "kyc": P.KYC_KEYWORDS}
+    words = {"resume": V.RESUME_KEYWORDS, "invoice": V.INVOICE_KEYWORDS, "kyc": V.KYC_KEYWORDS}
     return " + ".join(f"CAST(contains(lower({text}), {quoted(w)}) AS INT)" for w in words[doc_type])
 
 
@@ -32,7 +32,7 @@ TYPED = f"""SELECT *, CASE WHEN hint IS NULL OR hint IN ('', 'unknown') THEN inf
       {score("kyc")} AS k FROM mixed)))"""
 
 LINES = (
-    f"list_filter(list_transform(string_split_regex(text, {quoted(P.LINE_BREAK)}), "
+    f"list_filter(list_transform(string_split_regex(text, {quoted(V.LINE_BREAK)}), "
     f"lambda x: {stripped('x')}), lambda x: x <> '')"
 )
 
@@ -45,18 +45,18 @@ def all_matches(pattern: str, text: str = "text") -> str:
     return f"regexp_extract_all({text}, {quoted(pattern)})"
 
 
-EMAIL = first_match(P.EMAIL)
+EMAIL = first_match(V.EMAIL)
 # First-seen distinct: keep a match whose first position is its own.
 PHONES = (
     "list_transform(list_filter(list_transform(range(1, len(ph) + 1), "
     "lambda n: CASE WHEN list_position(ph, ph[n]) = n THEN ph[n] END), lambda x: x IS NOT NULL), lambda x: x)"
-    f"[1:{P.MAX_PHONES}]"
+    f"[1:{V.MAX_PHONES}]"
 )
 SKILL_START = "list_position(list_transform(lines, lambda x: contains(lower(x), 'skill')), true)"
 SKILLS = (
     "list_filter(list_transform(regexp_extract_all(array_to_string("
-    f"lines[{SKILL_START}:{SKILL_START} + {P.MAX_SKILL_LINES - 1}], chr(10)), {quoted(P.SKILL)}), "
-    f"lambda x: {stripped('x')}), lambda x: length(x) > 2)[1:{P.MAX_SKILLS}]"
+    f"lines[{SKILL_START}:{SKILL_START} + {V.MAX_SKILL_LINES - 1}], chr(10)), {quoted(V.SKILL)}), "
+    f"lambda x: {stripped('x')}), lambda x: length(x) > 2)[1:{V.MAX_SKILLS}]"
 )
 
 # Every field of every document; `phone` and `skills` are lists.
@@ -66,14 +66,14 @@ FIELDS = f"""SELECT doc_id, kind, doc_type, confidence, inferred, text,
     CASE WHEN doc_type = 'resume' THEN {PHONES} END AS phone,
     CASE WHEN doc_type = 'resume' AND contains(lower(text), 'skills') AND len({SKILLS}) > 0
       THEN {SKILLS} END AS skills,
-    CASE WHEN doc_type = 'invoice' THEN {first_match(P.INVOICE_NUMBER, 1)} END AS invoice_number,
-    CASE WHEN doc_type = 'invoice' THEN {all_matches(P.AMOUNT)}[-1] END AS total,
+    CASE WHEN doc_type = 'invoice' THEN {first_match(V.INVOICE_NUMBER, 1)} END AS invoice_number,
+    CASE WHEN doc_type = 'invoice' THEN {all_matches(V.AMOUNT)}[-1] END AS total,
     CASE WHEN doc_type = 'invoice' THEN em END AS vendor_email,
-    CASE WHEN doc_type = 'kyc' THEN {first_match(P.BIRTH_DATE, 1)} END AS date_of_birth,
-    CASE WHEN doc_type = 'kyc' THEN {first_match(P.DOCUMENT_ID, 1)} END AS document_id,
+    CASE WHEN doc_type = 'kyc' THEN {first_match(V.BIRTH_DATE, 1)} END AS date_of_birth,
+    CASE WHEN doc_type = 'kyc' THEN {first_match(V.DOCUMENT_ID, 1)} END AS document_id,
     CASE WHEN doc_type NOT IN ('resume', 'invoice', 'kyc')
-      THEN left(text, {P.MAX_PREVIEW_CHARS}) END AS raw_preview
-  FROM (SELECT *, {LINES} AS lines, {EMAIL} AS em, {all_matches(P.PHONE)} AS ph FROM typed)"""
+      THEN left(text, {V.MAX_PREVIEW_CHARS}) END AS raw_preview
+  FROM (SELECT *, {LINES} AS lines, {EMAIL} AS em, {all_matches(V.PHONE)} AS ph FROM typed)"""
 
 
 def joined(items: str, separator: str = "|") -> str:

@@ -16,6 +16,7 @@ broadcast.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +40,12 @@ PENALTY = 1.0
 SMOOTHING = 1.0
 FOLDS = 5
 THRESHOLD = 0.3
-# Texts are read in pieces of at most so many bytes, cut at white space.
+# Texts are read in pieces of at most so many bytes.
 PIECE = 1 << 20
 MAX_LABEL_ROWS = 1_000_000
 
+_SPACES = [bytes([b]) for b in (32, *range(9, 14))]
+_SPACE_BYTE = re.compile(rb"[ \t-\r]")
 _SPACE, _LOWER, _UPPER, _DIGIT, _MARK = 0, 1, 2, 4, 8
 
 
@@ -70,48 +73,100 @@ def _slots(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (salted >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
 
-def _piece_slots(piece: bytes) -> np.ndarray:
+def _mark(byte: np.ndarray) -> np.ndarray:
+    return np.where(_CLASSES[byte] == _MARK, byte, 0).astype(np.uint64)
+
+
+def _shape(kinds, last, before, capital, single) -> np.ndarray:
+    """Bits of a word's shape; whether it repeats the word before it is added by `_Grams`."""
+    shape = kinds.astype(np.uint64) | _mark(last) << np.uint64(8) | _mark(before) << np.uint64(16)
+    return shape | capital.astype(np.uint64) << np.uint64(25) | single.astype(np.uint64) << np.uint64(26)
+
+
+def _spelled(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What the bytes of words add to their hashes: each mixed with its place in the word."""
+    return _mixed((raw.astype(np.uint64) << np.uint64(32)) ^ place)
+
+
+def _words_of(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and shapes of the words in a piece that begins and ends between words."""
     raw = np.frombuffer(piece, dtype=np.uint8)
     classes = _CLASSES[raw]
     inside = classes != _SPACE
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.int32)
-    # Hash of a word: its bytes, mixed with their places in it, summed.
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     place = np.arange(len(raw), dtype=np.uint64) - np.repeat(
         np.append(starts, len(raw)).astype(np.uint64), np.diff(np.append(np.append(0, starts[1:]), [len(raw), len(raw)]))
     )
-    mixed = _mixed((raw.astype(np.uint64) << np.uint64(32)) ^ place)
+    mixed = _spelled(raw, place)
     mixed[~inside] = 0
     words = _mixed(np.add.reduceat(mixed, starts))
-    kinds = np.bitwise_or.reduceat(classes, starts).astype(np.uint64)
+    kinds = np.bitwise_or.reduceat(classes, starts)
     last, before = raw[ends - 1], raw[np.maximum(ends - 2, starts)]
-    mark = lambda b: np.where(_CLASSES[b] == _MARK, b, 0).astype(np.uint64)
-    repeated = np.append(False, words[1:] == words[:-1]).astype(np.uint64)
-    capital = (classes[starts] == _UPPER).astype(np.uint64)
-    single = (ends - starts == 1).astype(np.uint64)
-    shapes = kinds | mark(last) << np.uint64(8) | mark(before) << np.uint64(16)
-    shapes |= repeated << np.uint64(24) | capital << np.uint64(25) | single << np.uint64(26)
-    shapes = _mixed(shapes)
-    found = [_slots(words, 1), _slots(_mixed(words[:-1]) + words[1:], 2)]
-    run = shapes
-    for n in range(SHAPE_GRAMS):
-        found.append(_slots(run, 3 + n))
-        run = _mixed(run[:-1]) + shapes[n + 1 :]
-    return np.concatenate(found)
+    return words, _shape(kinds, last, before, classes[starts] == _UPPER, ends - starts == 1)
 
 
-def features(text: str | None) -> np.ndarray:
-    """Slots of the n-grams of a whole text, each once; no n-gram spans two pieces of a long text."""
-    data, found, start = (text or "").encode("utf-8", "surrogatepass"), [], 0
+def _long_word(data: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and shape of one word that is longer than a piece, added up in parts."""
+    total, kinds = np.zeros(1, np.uint64), np.zeros(1, np.uint8)
+    for at in range(start, end, PIECE):
+        raw = np.frombuffer(data, np.uint8, min(PIECE, end - at), at)
+        total += _spelled(raw, np.arange(at - start, at - start + len(raw), dtype=np.uint64)).sum(dtype=np.uint64)
+        kinds |= np.bitwise_or.reduce(_CLASSES[raw])
+    one = lambda i: np.frombuffer(data, np.uint8, 1, i)
+    shape = _shape(kinds, one(end - 1), one(max(end - 2, start)), _CLASSES[one(start)] == _UPPER, np.array([end - start == 1]))
+    return _mixed(total), shape
+
+
+def _parts(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and shapes of the words of a text, a piece at a time; no word is cut."""
+    start = 0
     while start < len(data):
-        end = min(len(data), start + PIECE)
-        if end < len(data):
-            cut = max(data.rfind(b" ", start, end), data.rfind(b"\n", start, end))
-            end = cut + 1 if cut >= start else end
-        found.append(_piece_slots(data[start:end]))
-        start = end
+        limit = start + PIECE
+        if limit >= len(data):
+            yield _words_of(data[start:])
+            return
+        cut = max(data.rfind(space, start, limit) for space in _SPACES)
+        if cut >= start:
+            yield _words_of(data[start : cut + 1])
+            start = cut + 1
+        else:
+            found = _SPACE_BYTE.search(data, limit)
+            end = found.start() if found else len(data)
+            yield _long_word(data, start, end)
+            start = end
+
+
+class _Grams:
+    """Slots of the n-grams of words that come in parts; the last words are carried over."""
+
+    def __init__(self):
+        self.word = np.zeros(0, np.uint64)
+        self.shapes = np.zeros(0, np.uint64)
+
+    def of(self, words: np.ndarray, shapes: np.ndarray) -> Iterator[np.ndarray]:
+        known = np.concatenate([self.word, words])
+        repeated = np.zeros(len(words), np.uint64)
+        repeated[len(words) - len(known) + 1 :] = known[1:] == known[:-1]
+        shapes = np.concatenate([self.shapes, _mixed(shapes | repeated << np.uint64(24))])
+        yield _slots(words, 1)
+        yield _slots(_mixed(known[:-1]) + known[1:], 2)
+        carried, run = len(self.shapes), shapes
+        for n in range(SHAPE_GRAMS):
+            # Runs that end in this part.
+            yield _slots(run[max(carried - n, 0) :], 3 + n)
+            run = _mixed(run[:-1]) + shapes[n + 1 :]
+        self.word, self.shapes = known[-1:], shapes[1 - SHAPE_GRAMS :]
+
+
+def features(text: str | None) -> np.ndarray:
+    """Slots of the n-grams of a whole text, each once. The text is read in pieces, which change no n-gram."""
+    data, grams, found = (text or "").encode("utf-8", "surrogatepass"), _Grams(), []
+    for words, shapes in _parts(data):
+        if len(words):
+            found.append(np.unique(np.concatenate(list(grams.of(words, shapes)))))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 

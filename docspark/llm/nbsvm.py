@@ -323,7 +323,8 @@ def train(
     total, mean = rows.agg(F.count("*"), F.avg("label")).first()
     ratios = _ratios(rows)
     share = min(1.0, fit_rows / max(total, 1))
-    sample = rows.filter(F.pmod("place", F.lit(1_000_000)) < int(share * 1_000_000))
+    # Stored by many tasks, so that the one that fits reads the sample and nothing else.
+    sample = common.stored(rows.filter(F.pmod("place", F.lit(1_000_000)) < int(share * 1_000_000)))
     return _fitted(sample, ratios, penalty, epochs) or (0.5 if mean is None else float(mean))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.functions import patterns as P
 from docspark.functions.text import strip
 from docspark.operators import keyed
+from docspark.operators.small import stored
 
 _GEOMETRY = ("left", "top", "width", "height")
 
@@ -84,6 +85,28 @@ def layout_boxes(words: DataFrame) -> DataFrame:
     return keyed.numbered(words, "doc_id", "page", "pos", "box_no")
 
 
+def boxes_of_pages(pages: DataFrame) -> DataFrame:
+    """All word boxes of whole pages with parallel arrays, numbered over the pages of a document.
+
+    The words a page keeps are stored once. Only the counts of pages are summed up in
+    the order of a document's pages; the words follow their page, so the pages of a
+    document are numbered by many tasks.
+    """
+    kept = pages.select("doc_id", "page", _kept_words().alias("_kept")).withColumn("_n", F.size("_kept"))
+    rows = stored(kept.filter("_n > 0"))
+    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.select("doc_id", "page", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.join(offsets, ["doc_id", "page"]).select("doc_id", "page", "_before", F.posexplode("_kept"))
+    return numbered.select(
+        "doc_id",
+        "page",
+        "col.text",
+        (F.col("col.confidence") / 100.0).alias("confidence"),
+        *(F.col(f"col.{name}").try_cast("int").alias(name) for name in _GEOMETRY),
+        (F.col("_before") + F.col("pos") + 1).alias("box_no"),
+    )
+
+
 def layout_block(columns: list[str]) -> Column:
     """A row as a layout block; columns the source lacks are null."""
     return F.struct(
@@ -132,18 +155,21 @@ def _as_layout_block(**values: Column) -> Column:
     )
 
 
-def word_pages(pages: DataFrame) -> DataFrame:
-    """``clean_words`` of pages with parallel arrays, counted and cut to the first blocks of each page."""
-    columns = ("text", "conf", *_GEOMETRY)
+def _kept_words() -> Column:
+    """The words of a page's parallel arrays that ``clean_words`` keeps, confidence still in percent."""
     words = F.transform(
-        F.arrays_zip(*columns),
+        F.arrays_zip("text", "conf", *_GEOMETRY),
         lambda w: F.struct(
             strip(w["text"]).alias("text"),
             F.coalesce(w["conf"].try_cast("double"), F.lit(-1.0)).alias("confidence"),
             *(w[name].alias(name) for name in _GEOMETRY),
         ),
     )
-    kept = F.filter(words, lambda w: (w["text"] != "") & (w["confidence"] >= 0))
+    return F.filter(words, lambda w: (w["text"] != "") & (w["confidence"] >= 0))
+
+
+def word_pages(pages: DataFrame) -> DataFrame:
+    """``clean_words`` of pages with parallel arrays, counted and cut to the first blocks of each page."""
 
     def block(w: Column) -> Column:
         geometry = {name: w[name].try_cast("int") for name in _GEOMETRY}
@@ -151,7 +177,7 @@ def word_pages(pages: DataFrame) -> DataFrame:
             page=F.col("order"), text=w["text"], confidence=w["confidence"] / 100.0, **geometry
         )
 
-    return _blocks_of(pages, "page", kept, block)
+    return _blocks_of(pages, "page", _kept_words(), block)
 
 
 def line_pages(results: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ def new_base(spark: SparkSession) -> str:
     return f"{shared_directory(spark)}/docspark-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as a table on shared storage and read back, by columns where it is read more than once."""
+    location = f"{new_base(df.sparkSession)}/rows"
+    df.write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The frame computed once and kept on shared storage."""
     directory = shared_directory(df.sparkSession)

@@ -11,7 +11,7 @@ from docspark.functions import pyjson
 from docspark.operators import entities as E
 from docspark.operators import ocr
 from docspark.operators.payload import payload_json
-from docspark.operators.small import new_base
+from docspark.operators.small import stored
 from docspark.plans import corpora
 from docspark.plans.catalog import sqltext as Q
 from docspark.plans.catalog import sqlvalues as V
@@ -86,9 +86,8 @@ def ocr_line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
       row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS box_no FROM clean"""
 )
 def ocr_layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.layout_boxes(words(spark, sf_dir)).select(
-        "doc_id", "page", "text", "confidence", "box_no"
-    )
+    boxes = ocr.boxes_of_pages(corpora.ocr_word_arrays(spark, sf_dir))
+    return boxes.select("doc_id", "page", "text", "confidence", "box_no")
 
 
 def _summary(blocks: DataFrame, order: list[str]) -> DataFrame:
@@ -290,9 +289,7 @@ def upload_events(texts: DataFrame) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processed rows of all documents. The rendered texts are a stored table, read for events and texts."""
-    location = f"{new_base(spark)}/texts"
-    corpora.mixed(spark, sf_dir).write.parquet(location)
-    texts = spark.read.parquet(location)
+    texts = stored(corpora.mixed(spark, sf_dir))
     return process(upload_events(texts), documents(tables(spark, sf_dir, texts)))
 
 

@@ -220,6 +220,10 @@ def test_whole_pages_and_answers_give_what_their_rows_give(spark, sf_dir):
     whole = ocr.layout_of_pages(ocr.line_pages(lines))
     assert whole.exceptAll(by_row.select(*whole.columns)).isEmpty() and whole.count() == by_row.count()
 
+    by_row = ocr.layout_boxes(ocr.clean_words(ocr.words_from_arrays(words))).drop("pos")
+    whole = ocr.boxes_of_pages(words)
+    assert whole.exceptAll(by_row.select(*whole.columns)).isEmpty() and whole.count() == by_row.count()
+
     answers, phrases = corpora.entity_responses(spark, sf_dir), corpora.key_phrase_responses(spark, sf_dir)
     by_row = E.grouped_entities(corpora.exploded(answers))
     whole = E.answered_entities(answers)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,9 @@ SURGE_CHARS = 40
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    # A quote opens a value after an equals sign only, as in HTML. Nothing is read twice: no part gives back
+    # what it has matched, and a tag whose value is never closed ends at the first angle bracket.
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?", re.S)
@@ -141,6 +144,7 @@ def _parsed(page: str, spared: set[int] | frozenset[int]) -> tuple[list[tuple],
     Elements at the positions `spared` are not left out for their names.
     """
     lines, open_, at = Lines(), [], 0
+    opened: Counter[str] = Counter()  # open elements by name
     # Depths of the outermost elements that are left out, for whatever reason and not by name.
     aside: int | None = None
     hard: int | None = None
@@ -153,6 +157,7 @@ def _parsed(page: str, spared: set[int] | frozenset[int]) -> tuple[list[tuple],
     def close() -> str:
         nonlocal aside, hard
         name, counts = open_.pop(), counted.pop()
+        opened[name] -= 1
         depth = len(open_)
         if counts:
             inside[counts] -= 1
@@ -185,7 +190,7 @@ def _parsed(page: str, spared: set[int] | frozenset[int]) -> tuple[list[tuple],
         elif name == "br" and aside is None:
             lines.add(" ", False)
         if tag["end"]:
-            if name in open_:
+            if opened[name]:
                 while close() != name:
                     pass
             continue
@@ -212,6 +217,7 @@ def _parsed(page: str, spared: set[int] | frozenset[int]) -> tuple[list[tuple],
                         aside = len(open_)
         counts = name in inside and (hard is None if name in ("a", "form") else aside is None)
         open_.append(name)
+        opened[name] += 1
         counted.append(name if counts else "")
         if counts:
             inside[name] += 1

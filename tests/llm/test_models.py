@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 import zlib
 
 import pytest
@@ -153,3 +154,18 @@ def test_pieces_of_a_long_text_change_no_feature(monkeypatch, piece):
     monkeypatch.setattr(nbsvm, "PIECE", piece)
     assert [nbsvm.features(t).tolist() for t in texts] == whole
     assert len(nbsvm.features(None)) == len(nbsvm.features(" \n ")) == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p>it's <b 'x \"" * 70_000, "<b>" * 170_000 + "</i>" * 120_000, "<b a=\"" * 160_000, "<b a='x \"" * 100_000, "<a x = ' > y" * 80_000],
+)
+def test_malformed_pages_of_a_megabyte_are_read_in_one_pass(page):
+    started = time.process_time()
+    line_blocks.main_text(page)
+    assert time.process_time() - started < 5  # the quadratic scanner took minutes
+
+
+def test_quotes_that_are_never_closed():
+    assert line_blocks.main_text('<article><p class="x>Hello</p><p>World</p></article>') == "Hello\nWorld"
+    assert line_blocks.main_text("<article><p it's>Hello</p><p title='a > b'>World</p></article>") == "Hello\nWorld"

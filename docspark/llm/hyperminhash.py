@@ -14,7 +14,8 @@ band key no pairs are enumerated as long as a star may do: all members are
 compared with one hub, the one that shares most keys with others (of a group of
 edited copies, that with fewest edits), and components are made of these links.
 Only members left outside the main component of their key are then compared with
-all other members, so that no link between components is missed. Before that, the
+all other members, so that no link between components is missed; their sets go
+along, and only linked pairs leave that join. Before that, the
 shingles that no other document left has are counted: they can be in no overlap,
 so they bound a document's similarity to any other from above, without loss. A
 copy edited too much to be linked, or a text that shares one passage with many
@@ -48,6 +49,8 @@ MANTISSA_BITS = 9
 PERCENT = 80
 # Standard deviations that an estimate may lie below the threshold.
 MARGIN = 5.0
+# Shingles of a set that goes along with its document's keys, 8 bytes each.
+MAX_CARRIED = 4096
 # Ids, of 8 bytes each, that are broadcast at most.
 MAX_IDS = 2_000_000
 
@@ -268,24 +271,33 @@ def _outside(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     """Pairs of each member outside the main component of its key with the members of other components.
 
     Members that their private shingles keep from any link are left out. The
-    bounds and the estimate are part of the join, so pairs that cannot be linked
-    are not emitted.
+    bounds, the estimate and the full sets are part of the join, so pairs that are
+    not linked are not emitted. Rows carry sets of up to MAX_CARRIED shingles; pairs
+    with a larger one are emitted by the estimate and confirmed afterwards.
     """
     bounded = reps.join(_shared_sizes(sets), "_id").filter(F.col("_shared") * 100 >= percent * F.col("_n"))
-    bounded = common.stored(bounded)
+    # An id of several texts has several sets: its pairs are confirmed afterwards, too.
+    one = (F.min("_set") == F.max("_set")) & (F.size(F.max("_set")) <= MAX_CARRIED)
+    carried = sets.groupBy("_id").agg(F.when(one, F.max("_set")).alias("_carried"))
+    bounded = common.stored(bounded.join(carried, "_id"))
     rows = rows.join(bounded.select("_id"), "_id", "left_semi")
     sizes = rows.groupBy("_key", "_c").agg(F.count("*").alias("_members"))
     main = sizes.groupBy("_key").agg(F.max_by("_c", F.struct("_members", "_c")).alias("_main"))
     full = rows.join(bounded, "_id")
     side = lambda rows, n: _with_own(rows).select(
-        "_key", F.col("_id").alias(n), F.col("_c").alias(f"c{n}"), F.col("_shared").alias(f"s{n}"), *_renamed(n)
+        *("_key", F.col("_id").alias(n), F.col("_c").alias(f"c{n}"), F.col("_shared").alias(f"s{n}")),
+        *(F.col("_carried").alias(f"f{n}"), *_renamed(n)),
     )
     left, right = side(full.join(main, "_key").filter("_c != _main"), "a"), side(full, "b")
+    both = F.size(F.array_intersect("fa", "fb"))
+    known = F.col("fa").isNotNull() & F.col("fb").isNotNull()
     condition = (
         (left["_key"] == right["_key"])
         & (F.col("ca") != F.col("cb"))
         & (F.least("sa", "sb") * 100 >= percent * (F.col("na") + F.col("nb") - F.least("sa", "sb")))
         & _may_link(("oa", "ob"), ("pa", "pb"), percent)
+        # Written so that the sets of a pair are intersected once.
+        & (~known | ((100 + percent) * both >= percent * (F.size("fa") + F.size("fb"))))
     )
     return _ordered(left.join(right, condition).select("a", "b"))
 

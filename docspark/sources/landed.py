@@ -52,7 +52,12 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 
 def index(spark: SparkSession, store: Store) -> DataFrame:
-    """Every landed path once: path, doc_id, length, modificationTime, arrived and its partition."""
+    """Every landed path once: path, doc_id, length, modificationTime, arrived and its partition.
+
+    Empty before the first file has landed.
+    """
+    if not filesystem.exists(spark, store.landed):
+        return spark.createDataFrame([], _ROWS)
     return spark.read.schema(_ROWS).parquet(store.landed)
 
 
@@ -68,9 +73,7 @@ def merge(landed: DataFrame, store: Store) -> None:
         rebuild(spark, store)
     rows = index_rows(landed, store.buckets).persist()
     try:
-        known = rows
-        if filesystem.exists(spark, store.landed):
-            known = only(index(spark, store), BUCKET, rows).unionByName(rows)
+        known = only(index(spark, store), BUCKET, rows).unionByName(rows)
         filesystem.create_if_absent(spark, _marker(store), "")
         overwrite_partitions(_newest(known), store.landed, BUCKET)
         filesystem.delete(spark, _marker(store))

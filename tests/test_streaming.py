@@ -227,6 +227,14 @@ def test_index_reads_and_rewrites_only_partitions_of_its_batch(spark, tmp_path):
     assert len(partitions_read(found)) == 1 and partitions_read(found)[0] <= 3
 
 
+def test_before_anything_has_landed_no_file_is_found(spark, job):
+    checked = uploads.UploadJob(job.store, job.tables, from_landing=True)
+    batch = spark.createDataFrame([(event("a"), 0)], "value STRING, seq BIGINT")
+    checked.run_batch(batch, 0)
+    letters = spark.read.parquet(job.store.dead_letters).select("seq", "reason").collect()
+    assert list(map(tuple, letters)) == [(0, "file_not_found")]
+
+
 def test_an_interrupted_merge_is_made_good_from_the_log(spark, tmp_path):
     where = store.Store(str(tmp_path / "store"))
     for batch_id in range(3):

@@ -10,6 +10,7 @@ from docspark.functions import paths
 from docspark.operators import entities as E
 from docspark.operators import keyed, ocr
 from docspark.operators.payload import payload_json
+from docspark.plans import corpora
 from docspark.plans.process import DocumentTables, documents, process
 from docspark.streaming import json_objects
 
@@ -217,3 +218,27 @@ def test_new_object_files_are_read_once(spark, tmp_path):
     rows = spark.read.parquet(job.table)
     assert sorted((r.event_id, r.batch_id) for r in rows.collect()) == [("e1", 0), ("e2", 1)]
     assert [r.event_id for r in job.latest(spark).collect()] == ["e2"]
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_page_are_worked_out_once(spark):
+    rows = [("d", 0, ["a", " ", "c"], ["90", "80", "n/a"]), ("d", 1, [" "], ["70"]), ("e", 0, None, None)]
+    pages = spark.createDataFrame(rows, "doc_id STRING, page INT, text ARRAY<STRING>, conf ARRAY<STRING>")
+    pages = pages.selectExpr("*", *(f"transform(text, w -> 1) AS {n}" for n in ("left", "top", "width", "height")))
+    cut = ocr.word_pages(pages)
+    assert _plan(cut).count("arrays_zip(") == 1
+    assert [(r.doc_id, r.order, r.n, [b.text for b in r.blocks]) for r in cut.collect()] == [("d", 0, 1, ["a"])]
+
+
+def test_a_page_carries_its_own_words_only(spark, tmp_path):
+    rows = [(1, " ".join(f"w{i}" for i in range(450))), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = corpora.ocr_word_arrays(spark, str(tmp_path)).select("doc_id", "page", "text")
+    assert "explode" not in _plan(pages)
+    sizes = {(r.doc_id, r.page): r.text and len(r.text) for r in pages.collect()}
+    assert {k: v for k, v in sizes.items() if k[0] != "plain-3"} == {
+        ("plain-1", 0): 200, ("plain-1", 1): 200, ("plain-1", 2): 50, ("plain-2", 0): 1,
+    }

@@ -10,7 +10,7 @@ from docspark.operators.payload import payload_json
 from docspark.functions.paths import path_key
 from docspark.plans.process import DocumentTables, documents, process
 from docspark.sources import files, filesystem, landed, messages, objects, partitions, store, topics
-from docspark.streaming import feedback, uploads
+from docspark.streaming import feedback, json_objects, uploads
 from docspark.streaming.outbox import Outbox
 
 TEXTS = [("a", "Invoice # 7\nTotal USD 5"), ("b", "hello"), ("c", "Passport # X1234567")]
@@ -370,3 +370,31 @@ def test_objects_of_failed_tasks_do_not_appear(spark, tmp_path):
     found = {f.name: f.read_bytes() for f in (tmp_path / "o").iterdir() if f.is_file()}
     assert found == {n: (b"new" if n == "n5" else c) for n, c in rows if "/" not in n}
     assert list((tmp_path / "o" / "_staging").iterdir()) == []
+
+
+@pytest.mark.parametrize("kind", ["json", "binary"])
+def test_many_small_files_of_a_stream_are_read_by_few_tasks(spark, tmp_path, kind):
+    rows = spark.range(400).selectExpr("concat(id, '.json') AS name", "encode('{}', 'UTF-8') AS content")
+    folder, parts = f"{tmp_path}/objects", []
+    objects.write_objects(rows, folder)
+    source = files.stream_files(spark, folder) if kind == "binary" else json_objects.stream_objects(spark, folder)
+
+    def run(batch, batch_id):
+        parts.append((batch.rdd.getNumPartitions(), batch.count()))
+
+    started = source.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/checkpoint")
+    started.trigger(availableNow=True).start().awaitTermination()
+    # At 4 MB a file they are 13 parts of 32 files.
+    assert len(parts) == 1 and parts[0][0] <= 8 and parts[0][1] == 400
+
+
+def test_a_session_for_many_files_is_like_the_given_one(spark):
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    assert files.many_files(spark).conf.get(name) == "64k" and spark.conf.get(name) == before
+    assert files.many_files(spark).conf.get("spark.sql.session.timeZone") == "UTC"
+    spark.conf.set(name, "1m")
+    try:
+        assert files.many_files(spark).conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)

@@ -49,7 +49,7 @@ MANTISSA_BITS = 9
 PERCENT = 80
 # Standard deviations that an estimate may lie below the threshold.
 MARGIN = 5.0
-# Shingles of a set that goes along with its document's keys, 8 bytes each.
+# Shingles of a set that goes along with its document's keys, 4 bytes each.
 MAX_CARRIED = 4096
 # Ids, of 8 bytes each, that are broadcast at most.
 MAX_IDS = 2_000_000
@@ -195,11 +195,19 @@ def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and estimate allow a link."""
-    full = _with_own(reps)
-    side = lambda n: full.select(F.col("_id").alias(n), *_renamed(n))
+    """The pairs whose sizes and estimate allow a link.
+
+    Registers go through the joins as they are stored, in fewer bytes than their own ones
+    with their places.
+    """
+    side = lambda n: reps.select(
+        F.col("_id").alias(n), F.col("_n").alias(f"n{n}"), F.col("_registers").alias(f"r{n}")
+    )
     close = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(close)
+    for n in "ab":
+        owned = _with_own(likely.withColumnRenamed(f"r{n}", "_registers"))
+        likely = owned.withColumnsRenamed({"_own": f"o{n}", "_places": f"p{n}"}).drop("_registers")
     return common.stored(likely.filter(_may_link(("oa", "ob"), ("pa", "pb"), percent)).select("a", "b"))
 
 
@@ -267,18 +275,26 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
     return rows.join(private, "_id", "left").select("_id", (F.col("_size") - own).alias("_shared"))
 
 
+def _short(shingles: Column) -> Column:
+    """The distinct upper halves of the hashes of a set."""
+    return F.array_distinct(F.transform(shingles, lambda s: F.shiftright(s, 32).cast("int")))
+
+
 def _outside(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of each member outside the main component of its key with the members of other components.
 
     Members that their private shingles keep from any link are left out. The
-    bounds, the estimate and the full sets are part of the join, so pairs that are
-    not linked are not emitted. Rows carry sets of up to MAX_CARRIED shingles; pairs
-    with a larger one are emitted by the estimate and confirmed afterwards.
+    bounds, the estimate and the sets are part of the join, so hardly a pair that is
+    not linked is emitted. Rows carry sets of up to MAX_CARRIED shingles, by halves of
+    their hashes: of the shingles that two sets share, no more fall together than of
+    those of either set, so this many are added to what the halves share and no link is
+    lost. All pairs are confirmed afterwards, those with a larger set by the estimate only
+    so far.
     """
     bounded = reps.join(_shared_sizes(sets), "_id").filter(F.col("_shared") * 100 >= percent * F.col("_n"))
     # An id of several texts has several sets: its pairs are confirmed afterwards, too.
     one = (F.min("_set") == F.max("_set")) & (F.size(F.max("_set")) <= MAX_CARRIED)
-    carried = sets.groupBy("_id").agg(F.when(one, F.max("_set")).alias("_carried"))
+    carried = sets.groupBy("_id").agg(F.when(one, _short(F.max("_set"))).alias("_carried"))
     bounded = common.stored(bounded.join(carried, "_id"))
     rows = rows.join(bounded.select("_id"), "_id", "left_semi")
     sizes = rows.groupBy("_key", "_c").agg(F.count("*").alias("_members"))
@@ -289,7 +305,8 @@ def _outside(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
         *(F.col("_carried").alias(f"f{n}"), *_renamed(n)),
     )
     left, right = side(full.join(main, "_key").filter("_c != _main"), "a"), side(full, "b")
-    both = F.size(F.array_intersect("fa", "fb"))
+    fallen = F.least(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
+    both = F.size(F.array_intersect("fa", "fb")) + fallen
     known = F.col("fa").isNotNull() & F.col("fb").isNotNull()
     condition = (
         (left["_key"] == right["_key"])
@@ -297,7 +314,7 @@ def _outside(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
         & (F.least("sa", "sb") * 100 >= percent * (F.col("na") + F.col("nb") - F.least("sa", "sb")))
         & _may_link(("oa", "ob"), ("pa", "pb"), percent)
         # Written so that the sets of a pair are intersected once.
-        & (~known | ((100 + percent) * both >= percent * (F.size("fa") + F.size("fb"))))
+        & (~known | ((100 + percent) * both >= percent * (F.col("na") + F.col("nb"))))
     )
     return _ordered(left.join(right, condition).select("a", "b"))
 

@@ -163,3 +163,17 @@ def test_perfect_hash_is_minimal():
     found = bpe.PerfectHash(keys)
     assert sorted(found.slots) == list(range(len(keys)))
     assert all(found(key) == n for n, key in enumerate(keys))
+
+
+def test_sets_go_along_by_halves_and_lose_no_link(spark):
+    """Shingles whose halves are all equal leave nothing to compare: the pair is emitted, to be confirmed."""
+    rows = [("k", 1, 1), ("k", 2, 2), ("k", 3, 2)]
+    keys = spark.createDataFrame(rows, "_key string, _id long, _c long")
+    sets = [(1, [(7 << 32) + i for i in range(100)]), (2, [(7 << 32) + i for i in range(95)])]
+    sets.append((3, [(i << 32) + 1 for i in range(-50, 50)]))
+    shingles = spark.createDataFrame(sets, "_id long, _set array<bigint>")
+    reps = shingles.select("_id", F.size("_set").cast("long").alias("_n"), F.expr("array(1S, 2S) AS _registers"))
+    halves = shingles.select(hyperminhash._short(F.col("_set")).alias("s"))
+    assert dict(halves.dtypes)["s"] == "array<int>" and [len(r.s) for r in halves.collect()] == [1, 1, 100]
+    found = hyperminhash._outside(keys, reps, shingles.union(shingles.filter("_id = 3")), 80)
+    assert [tuple(r) for r in found.collect()] == [(2, 1)]

@@ -11,7 +11,9 @@ from docspark.operators import entities as E
 from docspark.operators import keyed, ocr
 from docspark.operators.payload import payload_json
 from docspark.plans import corpora
+from docspark.plans.catalog import reading
 from docspark.plans.process import DocumentTables, documents, process
+from docspark.sources import partitions
 from docspark.streaming import json_objects
 
 
@@ -242,3 +244,18 @@ def test_a_page_carries_its_own_words_only(spark, tmp_path):
     assert {k: v for k, v in sizes.items() if k[0] != "plain-3"} == {
         ("plain-1", 0): 200, ("plain-1", 1): 200, ("plain-1", 2): 50, ("plain-2", 0): 1,
     }
+
+
+def test_texts_are_dealt_before_they_are_made_into_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(partitions, "PART_CHARACTERS", 100)
+    rows = [(i, " ".join(f"w{i}" for _ in range(60))) for i in range(40)] + [(1, "again"), (2, None), (None, "lost")]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = corpora.plain(spark, str(tmp_path))
+    dealt = partitions.dealt_texts(plain, "doc_id", F.xxhash64("text"))
+    # One part of a file, of 60 words in 40 rows, becomes parts of about 100 characters.
+    assert plain.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() > 60
+    assert reading.words(spark, str(tmp_path), dealt).exceptAll(reading.words(spark, str(tmp_path))).isEmpty()
+    got = {r.doc_id: r.line_count for r in reading.layout_summary_words(spark, str(tmp_path)).collect()}
+    whole = reading._summary(reading.words(spark, str(tmp_path)), ["page", "pos"])
+    assert got == {r.doc_id: r.line_count for r in whole.collect()}
+    assert "RepartitionByExpression" in _plan(reading.layout_summary_words(spark, str(tmp_path)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docspark import schemas
 from docspark.operators.payload import payload_json
 from docspark.functions.paths import path_key
+from docspark.plans import corpora
+from docspark.plans.catalog import ingest, pipelines, reading
 from docspark.plans.process import DocumentTables, documents, process
 from docspark.sources import files, filesystem, landed, messages, objects, partitions, store, topics
 from docspark.streaming import feedback, json_objects, uploads
@@ -398,3 +400,28 @@ def test_a_session_for_many_files_is_like_the_given_one(spark):
         assert files.many_files(spark).conf.get(name) == "1m"
     finally:
         spark.conf.unset(name)
+
+
+def test_documents_get_their_day_before_they_are_made_into_words(spark, tmp_path):
+    """The rows are those of words joined with the days of their documents, repeated ids and nulls included."""
+    given = [(i, "Some words Of text " * (i + 1)) for i in range(12)] + [(3, "Twice given"), (4, None), (None, "No id")]
+    spark.createDataFrame(given, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    sf_dir = str(tmp_path)
+    plain = corpora.plain(spark, sf_dir)
+    day = F.to_date(F.timestamp_seconds(F.expr(ingest.ARRIVAL)))
+    days = plain.withColumn("length", F.length("text")).select("doc_id", day.alias("arrived"))
+    docs = plain.join(days, "doc_id")
+    pairs = [
+        (reading.words(spark, sf_dir, docs), reading.words(spark, sf_dir)),
+        (corpora.exploded(corpora.entity_responses(spark, sf_dir, docs)), corpora.exploded(corpora.entity_responses(spark, sf_dir))),
+        (corpora.exploded(corpora.key_phrase_responses(spark, sf_dir, docs)), corpora.exploded(corpora.key_phrase_responses(spark, sf_dir))),
+    ]
+    tables = pipelines._arrived_tables(spark, sf_dir, f"{tmp_path}/tables")
+    written = (tables.blocks, tables.entities, tables.key_phrases)
+    for (dated, rows), table in zip(pairs, written, strict=True):
+        expected = rows.join(days, "doc_id")
+        names = expected.columns
+        assert dated.count() == expected.count() == table.count() > 12
+        assert dated.select(names).exceptAll(expected).isEmpty()
+        assert table.select(names).exceptAll(expected).isEmpty()
+    assert tables.texts.count() == docs.count() == 18

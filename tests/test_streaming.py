@@ -425,3 +425,59 @@ def test_documents_get_their_day_before_they_are_made_into_words(spark, tmp_path
         assert dated.select(names).exceptAll(expected).isEmpty()
         assert table.select(names).exceptAll(expected).isEmpty()
     assert tables.texts.count() == docs.count() == 18
+
+
+def test_rows_of_many_documents_are_limited_before_they_are_shuffled(spark, monkeypatch):
+    """Against many ids only texts are joined; the documents of the events come out as against few."""
+    words = [(f"d{d}", 0, pos, f"w{pos}", 1, 2, 3, 4, 0.5) for d in range(4) for pos in range(60)] + [(None, 0, 0, "x", 1, 2, 3, 4, 0.5)]
+    entities = [(f"d{d}", pos, f"Name {pos}", "PERSON" if pos == 55 else "DATE", 0.5) for d in range(4) for pos in range(60)]
+    columns = "doc_id STRING, page INT, pos INT, text STRING, left INT, top INT, width INT, height INT, confidence DOUBLE"
+    tables = DocumentTables(
+        texts=spark.createDataFrame([(f"d{d}", f"text {d}") for d in range(4)] + [(None, "none")], "doc_id STRING, text STRING"),
+        blocks=spark.createDataFrame(words, columns),
+        entities=spark.createDataFrame(entities, "doc_id STRING, pos INT, Text STRING, Type STRING, Score DOUBLE"),
+    )
+    rows = [("d1", "/raw/1", "unknown"), ("d3", "/raw/3", "unknown"), ("d3", "/raw/3", "kyc"), ("d9", "/raw/9", "unknown")]
+    events = spark.createDataFrame(rows, "doc_id STRING, file_path STRING, doc_type STRING")
+
+    def results():
+        return process(events, documents(tables.restricted(events)))
+
+    few = results()
+    assert tables.restricted(events).blocks.count() == 120
+    monkeypatch.setattr("docspark.plans.process.is_small", lambda df: False, raising=False)
+    restricted = tables.restricted(events)
+    for table in (restricted.blocks, restricted.entities):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+        assert table.filter("doc_id IS NULL").isEmpty()
+    assert restricted.texts.count() == 2
+    many = results()
+    assert many.count() == few.count() == 4 and many.exceptAll(few).isEmpty()
+    found = many.filter("doc_id = 'd1'").first()
+    assert (found.layout.line_count, len(found.layout.lines), found.fields.name) == (60, 40, "Name 55")
+
+
+def test_documents_are_dealt_once_for_all_their_tables(spark, tmp_path, monkeypatch):
+    given = [(i, "Some words Of text " * (i + 1)) for i in range(12)]
+    spark.createDataFrame(given, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, words = [], reading.words
+
+    def seen(session, sf_dir, docs):
+        plans.append(docs._jdf.queryExecution().executedPlan().toString())
+        return words(session, sf_dir, docs)
+
+    monkeypatch.setattr(reading, "words", seen)
+    tables = pipelines._arrived_tables(spark, str(tmp_path), f"{tmp_path}/tables")
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "FileScan parquet" in plans[0]
+    assert sorted(tables.texts.columns) == ["arrived", "batch_id", "doc_id", "text"]
+
+
+def test_short_parts_keep_what_the_session_sets(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    assert files.short_parts(spark).conf.get(name) == "16m" and spark.conf.get(name) == before
+    spark.conf.set(name, "1m")
+    try:
+        assert files.short_parts(spark).conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)

@@ -13,9 +13,11 @@ from docspark.operators import entities as E
 from docspark.operators import fields, ocr
 from docspark.operators.doctype import keyword_scores, with_doc_type
 from docspark.operators.fields import with_fields
-from docspark.operators.payload import fields_json
+from docspark.operators.payload import fields_json, payload_json
 from docspark.plans import corpora
 from docspark.plans.catalog import reading
+from docspark.plans.process import DocumentTables, documents, process
+from docspark.sources import store
 
 RESUME = (
     "Jane Roe\njane.roe@mail.example.com.\n+1 (415) 555-0100\nExperience\nSkills:\nPython, C++\nSQL"
@@ -243,3 +245,76 @@ def test_an_answer_that_came_twice_counts_once(spark):
 def test_payloads_scan_each_input_once(spark, sf_dir):
     plan = reading.payloads(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 7
+
+
+def shuffled_bytes(df) -> int:
+    """Bytes of the rows that went through the shuffles of a plan that has run, before compression."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                total += node.metrics().apply("dataSize").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_answers_are_cut_before_they_are_shuffled(spark):
+    kinds = ["DATE", "PERSON", "ORGANIZATION"]
+    rows = [(f"d{d}", [(f"name {i}", kinds[i % 3], 0.5) for i in range(5000)]) for d in range(4)]
+    answers = spark.createDataFrame(rows, "doc_id STRING, response ARRAY<STRUCT<Text: STRING, Type: STRING, Score: DOUBLE>>")
+    phrases = answers.select("doc_id", F.transform("response", lambda e: F.struct(e["Text"].alias("Text"), e["Score"].alias("Score"))).alias("response"))
+    entities, key_phrases = E.answered_entities(answers), E.answered_key_phrases(phrases)
+    assert shuffled_bytes(entities) < 50_000 and shuffled_bytes(key_phrases) < 50_000
+    assert [(len(r.entities), r.person, r.entity_organization) for r in entities.collect()] == [(50, "name 1", "name 2")] * 4
+    assert [len(r.key_phrases) for r in key_phrases.collect()] == [30] * 4
+
+
+def test_of_several_answers_the_greatest_whole_one_counts(spark):
+    """Answers that agree in the entities kept differ behind them, in length and in who is named first."""
+    rng = random.Random(11)
+    schema = "doc_id STRING, response ARRAY<STRUCT<Text: STRING, Type: STRING, Score: DOUBLE>>"
+    rows = []
+    for d in range(60):
+        head = [("h", "PERSON" if d % 4 == 1 and i == 7 else "DATE", 0.0) for i in range(rng.choice([0, 3, 50, 55]))]
+        for _ in range(4):
+            tail = [(rng.choice(["", "a", "b"]), rng.choice(["DATE", "PERSON", "ORGANIZATION"]), 0.5) for _ in range(rng.randrange(6))]
+            rows.append((f"d{d}", head + tail))
+    got = {r.doc_id: r for r in E.answered_entities(spark.createDataFrame(rows, schema)).collect()}
+    for doc_id in {row[0] for row in rows}:
+        greatest = max(response for key, response in rows if key == doc_id)
+        if not greatest:
+            assert doc_id not in got
+            continue
+        found = got[doc_id]
+        names = {kind: next((t for t, k, _ in greatest if k == kind and t), None) for kind in ("PERSON", "ORGANIZATION")}
+        assert [tuple(e) for e in found.entities] == greatest[:50]
+        assert (found.person, found.entity_organization) == (names["PERSON"], names["ORGANIZATION"])
+
+
+def test_blocks_of_pages_are_shuffled_by_columns(spark):
+    arrays = ", ".join(f"{name} ARRAY<INT>" for name in ("left", "top", "width", "height"))
+    rows = [(f"d{d}", page, ["word"] * 50, ["90.5"] * 50, *([[7] * 50] * 4)) for d in range(5) for page in range(20)]
+    rows.append(("d0", 3, ["other"] * 3, ["80.5"] * 3, *([[1] * 3] * 4)))
+    pages = spark.createDataFrame(rows, f"doc_id STRING, page INT, text ARRAY<STRING>, conf ARRAY<STRING>, {arrays}")
+    layout = ocr.layout_of_pages(ocr.word_pages(pages))
+    assert shuffled_bytes(layout) < 100 * 40 * 90
+    assert sorted((r.doc_id, r.line_count, len(r.layout_lines)) for r in layout.collect()) == [("d0", 1003, 40), *((f"d{d}", 1000, 40) for d in range(1, 5))]
+
+
+def test_processed_json_files_are_compressed(spark, tmp_path):
+    texts = spark.createDataFrame([(f"d{i}", "Invoice # 7\nTotal USD 5", None) for i in range(50)], "doc_id STRING, text STRING, hint STRING")
+    events = reading.upload_events(texts)
+    rows = process(events, documents(DocumentTables(texts.drop("hint"))))
+    store.write_processed_json(rows, f"{tmp_path}/json")
+    parts = [p.name for p in (tmp_path / "json").iterdir() if p.name.startswith("part-")]
+    assert parts and all(p.endswith(".txt.gz") for p in parts)
+    read = store.read_processed_json(spark, f"{tmp_path}/json", glob="*", whole_files=False).select(payload_json().alias("p"))
+    assert read.count() == 50 and read.exceptAll(rows.select(payload_json().alias("p"))).isEmpty()
